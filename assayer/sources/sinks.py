@@ -36,10 +36,8 @@ def save_json(df: DataFrame, path: str) -> str:
 
 def nested_summary(spark: SparkSession, parts: Mapping[str, DataFrame]) -> DataFrame:
     """One JSON document from one-row summary tables, e.g. the before/after report."""
-    document = spark.range(1).drop("id")
-    for name, part in parts.items():
-        document = document.crossJoin(part.limit(1).select(F.struct(*part.columns).alias(name)))
-    return document.select(F.to_json(F.struct(*parts)).alias("summary"))
+    fields = [part.select(F.struct(*part.columns)).scalar().alias(name) for name, part in parts.items()]
+    return spark.range(1).select(F.to_json(F.struct(*fields)).alias("summary"))
 
 
 # Relational types by Spark type.
@@ -94,8 +92,8 @@ def validate_load(
         reader = reader.option(key, value)
     loaded = reader.option("query", f"SELECT COUNT(*) AS loaded_rows FROM {table}").load().toDF("loaded_rows")
     source = df.agg(F.count(F.lit(1)).alias("source_rows"))
-    joined = source.crossJoin(loaded.select(F.col("loaded_rows").cast("long")))
-    return joined.withColumn("matches", F.col("source_rows") == F.col("loaded_rows"))
+    counted = source.withColumn("loaded_rows", loaded.select(F.col("loaded_rows").cast("long")).scalar())
+    return counted.withColumn("matches", F.col("source_rows") == F.col("loaded_rows"))
 
 
 def stringify(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
