@@ -8,7 +8,6 @@ only the values holding non-ASCII characters; other rows pass a null to it.
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,14 +87,17 @@ def canonicalize_text(
     nfkc: bool = False,
 ) -> Column:
     """Replace placeholder texts by null (or a label); keep everything else normalised."""
-    token = normalize_token(column, nfkc)
-    missing = F.lit(missing_label).cast("string")
-    return (
-        F.when(token.isin(*MISSING_TOKENS, *NOT_YET_TOKENS), missing)
-        .when(token.isin(*NOT_APPLICABLE_TOKENS), F.lit(NOT_APPLICABLE_LABEL) if preserve_not_applicable else missing)
-        .when(token.isin(*UNKNOWN_TOKENS), F.lit(UNKNOWN_UNIT_LABEL) if preserve_unknown else missing)
-        .otherwise(normalize_text(column, nfkc))
-    )
+    labels = {
+        **dict.fromkeys(MISSING_TOKENS + NOT_YET_TOKENS, missing_label),
+        **dict.fromkeys(NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL if preserve_not_applicable else missing_label),
+        **dict.fromkeys(UNKNOWN_TOKENS, UNKNOWN_UNIT_LABEL if preserve_unknown else missing_label),
+    }
+    # One branch per distinct label, so the token is computed once in the usual case.
+    token, chain = normalize_token(column, nfkc), F
+    for label in dict.fromkeys(labels.values()):
+        tokens = [t for t, target in labels.items() if target == label]
+        chain = chain.when(token.isin(*tokens), F.lit(label).cast("string"))
+    return chain.otherwise(normalize_text(column, nfkc))
 
 
 def missing_state(column: Column) -> Column:
@@ -126,7 +128,7 @@ def multivalue_text(column: Column) -> Column:
     """``"[a, b, a]"`` to ``"a, b"``: brackets off, blanks out, first occurrence kept."""
     text = normalize_text(column)
     inner = F.when(text.rlike(r"^\[.*\]$"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    pieces = F.transform(F.split(inner, ","), F.trim)
+    pieces = F.transform(F.split(inner, ","), lambda piece: F.trim(piece))
     return F.nullif(
         F.array_join(F.array_distinct(F.filter(pieces, lambda piece: piece != "")), ", "), F.lit("")
     )
@@ -158,22 +160,24 @@ def sorted_json(column: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(entries)))
 
 
+def _lookup(pairs: dict[str, object], token: Column) -> Column:
+    literals = [F.lit(x) for pair in pairs.items() for x in pair]
+    return F.try_element_at(F.create_map(*literals), token)
+
+
 def duration_unit(column: Column, nfkc: bool = False) -> Column:
     """Canonical unit name; anything not recognised is the unknown-unit label."""
-    token = normalize_token(column, nfkc)
-    chain = F.when(token.isNull(), F.lit(None).cast("string")).when(
-        token.isin(*NOT_APPLICABLE_TOKENS), NOT_APPLICABLE_LABEL
-    )
+    names = dict.fromkeys(NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL)
     for name, (spellings, _) in DURATION_UNITS.items():
-        chain = chain.when(token.isin(*spellings), name)
-    return chain.otherwise(UNKNOWN_UNIT_LABEL)
+        names.update(dict.fromkeys(spellings, name))
+    token = normalize_token(column, nfkc)
+    return F.coalesce(_lookup(names, token), F.when(token.isNotNull(), UNKNOWN_UNIT_LABEL))
 
 
-def unit_days(unit: Column) -> Column:
-    """Days in one canonical unit, null for unknown or not-applicable units."""
-    pairs = ((unit == name, days) for name, (_, days) in DURATION_UNITS.items())
-    first = next(pairs)
-    return reduce(lambda chain, pair: chain.when(pair[0], F.lit(pair[1])), pairs, F.when(first[0], F.lit(first[1])))
+def unit_days(column: Column) -> Column:
+    """Days in one unit, raw or canonical; null for unknown or not-applicable units."""
+    days = {s: value for spellings, value in DURATION_UNITS.values() for s in spellings}
+    return _lookup(days, normalize_token(column))
 
 
 def normalize_column_name(name: str) -> str:

@@ -69,7 +69,7 @@ def with_price_flags(df: DataFrame, spec: Spec, reference: DataFrame | None = No
 
 
 def duration_in_days(spec: Spec) -> Column:
-    return N.non_negative(F.col(spec.duration)) * X.unit_days(X.duration_unit(F.col(spec.duration_unit)))
+    return N.non_negative(F.col(spec.duration)) * X.unit_days(F.col(spec.duration_unit))
 
 
 def with_duration(df: DataFrame, spec: Spec, reference: DataFrame | None = None) -> DataFrame:
@@ -202,3 +202,12 @@ def row_indicators(df: DataFrame, spec: Spec, key_columns: tuple[str, ...], stat
         "ind_competition": competition > 0,
         "ind_temporal": _all(*[F.col(c).isNotNull() for c in dates]) & ~F.col("temporal_anomaly"),
     })
+
+
+def winsorize(df: DataFrame, value: str, group: str, quantile: float) -> DataFrame:
+    """Cap the upper tail of each group at its quantile."""
+    caps = exact_quantiles(df, [value], {"__cap": quantile}, keys=[group]).select(group, "__cap")
+    joined = df.join(sized_side(caps), group, "left")
+    return joined.withColumn("was_capped", F.col(value) > F.col("__cap")).withColumn(
+        value, F.when(F.col(value) > F.col("__cap"), F.col("__cap")).otherwise(F.col(value))
+    ).drop("__cap")

@@ -35,8 +35,16 @@ SPEC = Spec(
 )
 
 
+_scans: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one table. The (lazy) scan is kept per application, so footers are read once; no data is held."""
+    path = f"{sf_dir}/{name}.parquet"
+    handle = (spark.sparkContext.applicationId, path)
+    if handle not in _scans:
+        _scans[handle] = spark.read.parquet(path)
+    return _scans[handle]
 
 
 def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
