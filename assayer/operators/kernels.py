@@ -2,7 +2,7 @@
 
 * ``frequencies``     all columns in one shuffle: unpivot, then group by (column, value)
 * ``exact_quantiles`` linear-interpolated quantiles without collecting a group in one place
-* ``value_ranks``     average ranks from value counts, ordered within bounded ranges
+* ``running_counts``  rows below each value, ordered within bounded ranges; ``value_ranks`` on top of it
 * ``sized_side``      broadcast side only after its size has been looked at
 
 Exact quantiles and ranks never sort raw rows. Rows are first reduced to
@@ -90,6 +90,7 @@ def exact_quantiles(
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
     accuracy: int = 10_000,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per key and column.
 
@@ -100,6 +101,9 @@ def exact_quantiles(
     exactly. If a rank fell outside its range the query would fail rather than
     return a neighbour.
 
+    ``few_keys`` says the key combinations are bounded by construction (pairs times
+    collapsed levels), so their ranges are broadcast without counting them first.
+
     Result: keys, ``column``, ``n``, ``lowest``, ``highest`` and one column per
     named probability.
     """
@@ -110,7 +114,7 @@ def exact_quantiles(
 
     ranges = _brackets(long, by, ordered, accuracy)
     # Without keys there is one row per listed column, which is bounded by the schema.
-    side = sized_side(ranges) if keys else F.broadcast(ranges)
+    side = F.broadcast(ranges) if few_keys or not keys else sized_side(ranges)
     placed = null_safe_join(long, side, by)
 
     value = F.col("value")
@@ -149,51 +153,53 @@ def exact_quantiles(
     return found.select(*by, "n", "lowest", "highest", *results)
 
 
-def exact_medians(df: DataFrame, columns, keys: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
-    return exact_quantiles(df, columns, {"median": 0.5}, keys, accuracy)
+def exact_medians(df: DataFrame, columns, keys: Sequence[str] = (), accuracy: int = 10_000, few_keys: bool = False) -> DataFrame:
+    return exact_quantiles(df, columns, {"median": 0.5}, keys, accuracy, few_keys)
 
 
-def value_ranks(
-    counts: DataFrame, keys: Sequence[str], value: str = "value", count: str = "n", range_rows: int = RANGE_ROWS
+def running_counts(
+    counts: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str = "value", range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Add ``below`` (rows with a smaller value) and ``avg_rank`` to a (keys, value, count) table.
+    """Add ``below_<c>`` for each count column: the rows with a smaller value of the same key.
 
     Keys with many distinct values are cut into ranges of about ``range_rows``
     distinct values; the running count is taken inside each range and shifted by
-    the total of the ranges before it. The cut points are fixed as literals
+    the totals of the ranges before it. The cut points are fixed as literals
     before the plan is built, so every task, first run or rerun, uses the same.
     """
     by = list(keys)
     counts = counts.persist()
-    spans = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
-    most = spans.agg(F.max("levels")).first()[0] or 0
+    most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels")).agg(F.max("levels")).first()[0] or 0
     pieces = int(most // range_rows) + 1
+
+    def running(over: Sequence[str]) -> dict[str, Column]:
+        window = Window.partitionBy(*over).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return {f"below_{c}": F.sum(c).over(window) - F.col(c) for c in columns}
+
     if pieces == 1:
-        running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        placed = counts.withColumn("below", F.sum(count).over(running) - F.col(count))
-    else:
-        cuts = [i / pieces for i in range(1, pieces)]
-        table = counts.groupBy(*by).agg(
-            F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(max(1000, 10 * pieces))).alias("cuts")
-        ).collect()  # one row per key (a column or a pair of columns), `pieces` numbers each
-        rows = [tuple(r) for r in table]
-        schema = counts.select(*by).schema.add("cuts", "array<double>")
-        bounds = F.broadcast(counts.sparkSession.createDataFrame(rows, schema))
-        cut = counts.join(bounds, by).withColumn(
-            "__range", F.size(F.filter("cuts", lambda c: c <= F.col(value)))
-        ).drop("cuts")
-        totals = cut.groupBy(*by, "__range").agg(F.sum(count).alias("__total"))
-        shift = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(shift), F.lit(0))).drop("__total")
-        running = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        # keys x pieces rows
-        placed = (
-            cut.withColumn("below", F.sum(count).over(running) - F.col(count))
-            .join(F.broadcast(offsets), [*by, "__range"])
-            .withColumn("below", F.col("below") + F.col("__offset"))
-            .drop("__range", "__offset")
-        )
-    return placed.withColumn("avg_rank", F.col("below") + (F.col(count) + 1) / F.lit(2.0))
+        return counts.withColumns(running(by))
+
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(max(1000, 10 * pieces)))
+    # One row per key (a column or a pair of columns) with `pieces` numbers each.
+    fixed = counts.groupBy(*by).agg(cuts.alias("__cuts")).collect()
+    schema = counts.select(*by).schema.add("__cuts", "array<double>")
+    bounds = F.broadcast(counts.sparkSession.createDataFrame([tuple(r) for r in fixed], schema))
+    ranged = counts.join(bounds, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
+    totals = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
+    shifted = ranged.withColumns(running([*by, "__range"])).join(F.broadcast(offsets), [*by, "__range"])  # keys x pieces rows
+    return shifted.withColumns({f"below_{c}": F.col(f"below_{c}") + F.col(f"__{c}") for c in columns}).drop(
+        "__range", *[f"__{c}" for c in columns]
+    )
+
+
+def value_ranks(
+    counts: DataFrame, keys: Sequence[str], value: str = "value", count: str = "n", range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Add ``avg_rank`` to a (keys, value, count) table: tied values share their mean rank."""
+    placed = running_counts(counts, keys, [count], value, range_rows)
+    return placed.withColumn("avg_rank", F.col(f"below_{count}") + (F.col(count) + 1) / F.lit(2.0)).drop(f"below_{count}")
 
 
 def attach_by_value(

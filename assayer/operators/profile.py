@@ -21,10 +21,17 @@ from assayer.spec import NEAR_CONSTANT_PCT, PLACEHOLDER_TOKENS, RARE_SHARE, SHOR
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
+TIE = 1e-9  # means of rounded values do hit exact halves; this sends them up whatever the summation order
+
+
 def pct(part: Column, whole: Column) -> Column:
     return F.round(part * F.lit(100.0) / whole, 4)
 
 
+def mean_pct(column: Column) -> Column:
+    return F.round(F.avg(column) * 100 + F.lit(TIE), 4)
+
+
 def wide_to_rows(df: DataFrame, measures: Mapping[str, Mapping[str, Column]], shared: Mapping[str, Column] | None = None) -> DataFrame:
     """One aggregate over all columns, then one row per column.
 
@@ -59,7 +66,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ).orderBy(F.desc("null_pct"), F.desc("null_count"), "column")
 
 
-def _is_placeholder(column: Column) -> Column:
+def is_placeholder(column: Column) -> Column:
     return F.coalesce(X.normalize_token(column).isin(*PLACEHOLDER_TOKENS), F.lit(False))
 
 
@@ -69,7 +76,7 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def placeholder_counts(df: DataFrame) -> DataFrame:
     """Placeholder tokens per text column, columns without any left out."""
-    counts = wide_to_rows(df, {c: {"placeholders": F.count_if(_is_placeholder(F.col(c)))} for c in text_columns(df)})
+    counts = wide_to_rows(df, {c: {"placeholders": F.count_if(is_placeholder(F.col(c)))} for c in text_columns(df)})
     return counts.filter("placeholders > 0").orderBy(F.desc("placeholders"), "column")
 
 
@@ -78,7 +85,7 @@ def expanded_nulls(df: DataFrame) -> DataFrame:
     textual = set(text_columns(df))
     measures = {
         c: {"nulls": F.count_if(F.col(c).isNull()),
-            "expanded": F.count_if(F.col(c).isNull() | _is_placeholder(F.col(c)) if c in textual else F.col(c).isNull())}
+            "expanded": F.count_if(F.col(c).isNull() | is_placeholder(F.col(c)) if c in textual else F.col(c).isNull())}
         for c in df.columns
     }
     rows = wide_to_rows(df, measures, {"rows": F.count(F.lit(1))})
@@ -350,7 +357,7 @@ def numeric_by_group(df: DataFrame, value: str, group: str, keep_null_group: boo
 
 
 def rate_by_group(df: DataFrame, flag: str, group: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(flag).alias("n"), F.round(F.avg(F.col(flag).cast("int")) * 100, 4).alias("rate_pct"))
+    return df.groupBy(group).agg(F.count(flag).alias("n"), mean_pct(F.col(flag).cast("int")).alias("rate_pct"))
 
 
 def medians_by_group(df: DataFrame, metrics: Sequence[str], group: str) -> DataFrame:
@@ -387,6 +394,6 @@ def entity_rollup(df: DataFrame, keys: Sequence[str], id_column: str, completene
     """Processes and mean indicators (in percent) per entity; null keys form their own groups."""
     return df.groupBy(*keys).agg(
         F.count(id_column).alias("processes"),
-        F.round(F.avg(completeness) * 100, 4).alias("mean_completeness_pct"),
-        *[F.round(F.avg(F.col(c).cast("int")) * 100, 4).alias(f"{c}_pct") for c in indicators],
+        mean_pct(F.col(completeness)).alias("mean_completeness_pct"),
+        *[mean_pct(F.col(c).cast("int")).alias(f"{c}_pct") for c in indicators],
     )

@@ -11,6 +11,7 @@ from assayer.operators import derive as D
 from assayer.operators import profile as A
 from assayer.operators.dedup import duplicate_summary
 from assayer.plans.clean import clean, coerce
+from assayer.session import ensure_checkpoint_dir
 from assayer.spec import Spec
 
 
@@ -53,38 +54,57 @@ def run_summary(df: DataFrame, spec: Spec) -> DataFrame:
     )
 
 
-def quality_report(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
+def _facts(frame: DataFrame, stage: str, spec: Spec) -> DataFrame:
+    """Sizes, repeated ids, placeholders, constants and nulls of one table: three aggregations in all."""
+    copies = frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias("c"))
+    sizes = copies.agg(
+        F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("exact_duplicates"), F.lit(len(frame.columns)).cast("long").alias("columns")
+    )
+    text = set(A.text_columns(frame))
+
+    def constant(name: str):
+        column = F.col(name)
+        single = (F.count(name) == F.count(F.lit(1))) & (F.min(column) == F.max(column))
+        return F.coalesce((F.count(name) == 0) | single, F.lit(True)).cast("long")
+
+    measures = {
+        c: {"nulls": F.count_if(F.col(c).isNull()), "constant": constant(c),
+            "placeholders": F.count_if(A.is_placeholder(F.col(c))) if c in text else F.count_if(F.lit(False))} for c in frame.columns
+    }
+    per_column = A.wide_to_rows(frame, measures).unpivot(["column"], ["nulls", "constant", "placeholders"], "section", "value")
+    repeated = duplicate_summary(frame, [[spec.id]])
+    parts = [
+        sizes.unpivot([], ["rows", "exact_duplicates", "columns"], "item", "value").withColumn("section", F.lit("size")),
+        repeated.select(F.col("key_columns").alias("item"), F.col("duplicate_rows").alias("value"), F.lit("repeated_id").alias("section")),
+        per_column.filter((F.col("section") == "nulls") | (F.col("value") > 0)).withColumnRenamed("column", "item"),
+    ]
+    united = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return united.select(F.lit(stage).alias("stage"), "section", "item", F.col("value").cast("double").alias("value"))
+
+
+def _listed(frame: DataFrame, stage: str, section: str) -> DataFrame:
+    rows = frame.unpivot([], frame.columns, "item", "value")
+    return rows.select(F.lit(stage).alias("stage"), F.lit(section).alias("section"), "item", F.col("value").cast("double").alias("value"))
+
+
+def quality_report(df: DataFrame, spec: Spec, nfkc: str | bool = "auto", cleaned: DataFrame | None = None) -> DataFrame:
     """Table before and after cleaning: sizes, duplicates, placeholders and constants left, nulls, corrections.
 
-    One row per (stage, section, item), so nothing is folded into one large value.
+    One row per (stage, section, item). ``cleaned`` is the written result of the
+    cleaning plan when there is one; otherwise it is computed once and kept in
+    the checkpoint folder, because every fact reads it.
     """
+    if cleaned is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        cleaned = clean(df, spec, nfkc).checkpoint()
     base = coerce(df, spec, nfkc)
-    cleaned = clean(df, spec, nfkc)
-
-    def facts(frame: DataFrame, stage: str) -> DataFrame:
-        sizes = frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias("c")).agg(
-            F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("exact_duplicates")
-        ).withColumn("columns", F.lit(len(frame.columns)).cast("long"))
-        parts = [
-            sizes.unpivot([], ["rows", "exact_duplicates", "columns"], "item", "value").withColumn("section", F.lit("size")),
-            duplicate_summary(frame, [[spec.id]]).select(F.col("key_columns").alias("item"), F.col("duplicate_rows").alias("value"), F.lit("repeated_id").alias("section")),
-            A.placeholder_counts(frame).select(F.col("column").alias("item"), F.col("placeholders").alias("value"), F.lit("placeholders").alias("section")),
-            A.low_variability(frame).filter("is_constant").select(F.col("column").alias("item"), F.col("distinct_values").alias("value"), F.lit("constant").alias("section")),
-            A.column_counts(frame).select(F.col("column").alias("item"), (F.col("rows") - F.col("non_null")).alias("value"), F.lit("nulls").alias("section")),
-        ]
-        united = parts[0]
-        for part in parts[1:]:
-            united = united.unionByName(part)
-        return united.select(F.lit(stage).alias("stage"), "section", "item", F.col("value").cast("double").alias("value"))
-
-    corrections = base.agg(
+    corrected = base.agg(
         F.count_if(F.col(spec.price) < 0).alias("negative_prices"), F.count_if(F.col(spec.duration) < 0).alias("negative_durations")
     )
-    left = cleaned.agg(
+    remaining = cleaned.agg(
         F.count_if("temporal_anomaly").alias("temporal_anomalies"), F.count_if(D.duration_not_computable(spec)).alias("durations_not_computable")
     )
-
-    def listed(frame: DataFrame, stage: str, section: str) -> DataFrame:
-        return frame.unpivot([], frame.columns, "item", "value").select(F.lit(stage).alias("stage"), F.lit(section).alias("section"), "item", F.col("value").cast("double").alias("value"))
-
-    return facts(df, "before").unionByName(facts(cleaned, "after")).unionByName(listed(corrections, "before", "corrected")).unionByName(listed(left, "after", "remaining"))
+    return (
+        _facts(df, "before", spec).unionByName(_facts(cleaned, "after", spec))
+        .unionByName(_listed(corrected, "before", "corrected")).unionByName(_listed(remaining, "after", "remaining"))
+    )

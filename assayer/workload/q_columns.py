@@ -52,7 +52,7 @@ def _audit_sql() -> str:
     rows = []
     for c in P_COLUMNS:
         role = C.column_role(c, SPEC)
-        cells = f"count(*) FILTER ({c} IS DISTINCT FROM {forms[c]})" if c in forms else "CAST(0 AS BIGINT)"
+        cells = f"count(*) FILTER ({c} IS DISTINCT FROM {forms[c]})" if c in forms else "count(*) FILTER (FALSE)"
         fixed = f"'{role}'" if role else "CAST(NULL AS VARCHAR)"
         rows.append(f"""SELECT '{c}' AS "column", {fixed} AS fixed_role, {cells} AS cells_changed FROM P""")
     rules = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ROLE_RULES.items())

@@ -1 +1,70 @@
-"""Registered queries."""
+"""Design matrix and models (M), residual points (V8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assayer.operators import models as M
+from assayer.plans.score import score
+from assayer.workload.fixtures import SPEC, processes, with_p
+from assayer.workload.registry import query
+
+_STATES = ("O", "P")
+_MODES = ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _design(spark, sf):
+    rows = processes(spark, sf, "base_price", "n_lines", "duration", "url", "state", "mode").withColumn("with_url", F.col("url").isNotNull().cast("int"))
+    return M.design_matrix(rows, "base_price", ["n_lines", "duration"], ["with_url"], ["state", "mode"])
+
+
+@query("design_matrix", with_p(f"""
+SELECT base_price, CAST(n_lines AS DOUBLE) AS n_lines, duration, CAST(url IS NOT NULL AS DOUBLE) AS with_url,
+  {', '.join(f'''CAST(state = '{s}' AS DOUBLE) AS "state_{s}"''' for s in _STATES)},
+  {', '.join(f'''CAST(mode = '{m}' AS DOUBLE) AS "mode_{m}"''' for m in _MODES)}
+FROM P WHERE base_price IS NOT NULL AND n_lines IS NOT NULL AND duration IS NOT NULL"""), "base_price duration")
+def _(spark, sf):
+    return _design(spark, sf).frame
+
+
+@query("ols_fit", with_p("""
+SELECT 'n_lines' AS term, slope AS coefficient, se AS standard_error, slope / se AS test_statistic, r2, n AS n_used FROM (
+  SELECT regr_slope(base_price, n_lines) AS slope, regr_r2(base_price, n_lines) AS r2, regr_count(base_price, n_lines) AS n,
+    sqrt(regr_syy(base_price, n_lines) * (1 - regr_r2(base_price, n_lines)) / (regr_count(base_price, n_lines) - 2) / regr_sxx(base_price, n_lines)) AS se FROM P)"""),
+       "coefficient standard_error test_statistic r2")
+def _(spark, sf):
+    design = M.design_matrix(processes(spark, sf, "base_price", "n_lines"), "base_price", ["n_lines"])
+    coefficients, diagnostics, _ = M.fit_linear(design)
+    slope = coefficients.filter("term <> 'const'").select("term", "coefficient", "standard_error", "test_statistic")
+    return slope.withColumns({"r2": diagnostics.select("r2").scalar(), "n_used": diagnostics.select("n_used").scalar()})
+
+
+@query("ols_coefficients")
+def _(spark, sf):
+    return M.fit_linear(_design(spark, sf))[0]
+
+
+@query("ols_diagnostics")
+def _(spark, sf):
+    return M.fit_linear(_design(spark, sf))[1]
+
+
+def _risk_design(spark, sf):
+    rows = score(processes(spark, sf), SPEC)
+    return M.design_matrix(rows, "low_quality_risk", ["description_length", "duration"], ["flag_has_portfolio"], ["mode"])
+
+
+@query("logistic_fit")
+def _(spark, sf):
+    return M.fit_logistic(_risk_design(spark, sf))[0]
+
+
+@query("logistic_diagnostics")
+def _(spark, sf):
+    return M.fit_logistic(_risk_design(spark, sf))[1]
+
+
+@query("residual_data")
+def _(spark, sf):
+    fitted = M.fit_linear(_design(spark, sf))[2]
+    return M.residual_points(fitted, 2000)

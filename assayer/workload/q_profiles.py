@@ -225,8 +225,8 @@ _ENTITY = ("ind_url", "ind_description", "ind_price", "ind_keys", "ind_states",
 
 
 @query("entity_quality", with_p(f"""
-SELECT ref_id, nation, state, segment, count(proc_id) AS processes, round(avg(record_completeness) * 100, 4) AS mean_completeness_pct,
-  {', '.join(f'round(avg(CAST({c} AS INT)) * 100, 4) AS {c}_pct' for c in _ENTITY)}
+SELECT ref_id, nation, state, segment, count(proc_id) AS processes, round(avg(record_completeness) * 100 + 1e-9, 4) AS mean_completeness_pct,
+  {', '.join(f'round(avg(CAST({c} AS INT)) * 100 + 1e-9, 4) AS {c}_pct' for c in _ENTITY)}
 FROM IND GROUP BY ref_id, nation, state, segment""", INDICATORS_CTE),
        "mean_completeness_pct " + " ".join(f"{c}_pct" for c in _ENTITY))
 def _(spark, sf):
@@ -250,7 +250,7 @@ def _(spark, sf):
 
 
 @query("rate_by_category", with_p("""
-SELECT mode, count(*) AS n, round(avg(CAST(coalesce(n_lines, 0) > 1 AS INT)) * 100, 4) AS rate_pct FROM P GROUP BY mode"""), "rate_pct")
+SELECT mode, count(*) AS n, round(avg(CAST(coalesce(n_lines, 0) > 1 AS INT)) * 100 + 1e-9, 4) AS rate_pct FROM P GROUP BY mode"""), "rate_pct")
 def _(spark, sf):
     rows = processes(spark, sf, "mode", "n_lines").withColumn("reported", F.coalesce(F.col("n_lines"), F.lit(0)) > 1)
     return A.rate_by_group(rows, "reported", "mode")
