@@ -12,6 +12,7 @@ from assayer.functions import pvalues as PV
 from assayer.functions.numbers import finite
 from assayer.operators.groups import OTHER, collapsed_levels, group_label, pair_name
 from assayer.operators.kernels import attach_by_value, value_ranks
+from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 MIN_COMPLETE = 30
@@ -35,7 +36,7 @@ def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int = 8,
         F.struct(F.lit(pair_name(a, b)).alias("pair"), group_label(df, a).alias("l"), group_label(df, b).alias("r")) for a, b in pairs
     ]
     long = df.select(F.inline(F.array(*cells))).filter(F.col("l").isNotNull() & F.col("r").isNotNull())
-    counted = long.groupBy("pair", "l", "r").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(long.groupBy("pair", "l", "r").agg(F.count(F.lit(1)).alias("n")))
 
     def side(name: str) -> tuple[DataFrame, DataFrame]:
         margin = counted.groupBy("pair", F.col(name).alias("label")).agg(F.sum("n").alias("n"))
@@ -105,7 +106,7 @@ def fisher(cells: DataFrame) -> DataFrame:
 
 def associations(df: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int = 8, min_size: int = 30) -> DataFrame:
     """Chi-square per pair; Fisher where the table is 2x2 with over 20 % of expected counts below five."""
-    cells = pair_cells(df, pairs, top_n, min_size)
+    cells = materialise(pair_cells(df, pairs, top_n, min_size))
     chi = chi_square(cells).withColumn("chi_p", PV.p_chi2("chi2", F.col("dof").cast("double")))
     sparse = chi.filter("table_shape = '2x2' AND expected_below_5_pct > 20").select("pair")
     exact = fisher(cells.join(F.broadcast(sparse), "pair", "left_semi")).select("pair", "odds_ratio", F.col("p_value").alias("fisher_p"))
@@ -167,7 +168,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], min_complete: int
         F.struct(F.lit(pair_name(a, b)).alias("pair"), finite(F.col(a)).alias("x"), finite(F.col(b)).alias("y")) for a, b in pairs
     ]
     long = df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    points = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    points = materialise(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
     totals = points.groupBy("pair").agg(F.sum("w").alias("total"))
     options = {"range_rows": range_rows} if range_rows else {}
 

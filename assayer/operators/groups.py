@@ -22,6 +22,7 @@ from assayer.functions.text import normalize_text
 from assayer.operators.kernels import exact_medians, running_counts
 from assayer.operators.lookups import SAMPLE_SLICES, holm
 from assayer.operators.profile import _top
+from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 OTHER = "Other"
@@ -69,15 +70,21 @@ def long_pairs(df: DataFrame, pairs: Pairs, marked: bool = False) -> DataFrame:
     return df.select(*mark, F.inline(F.array(*cells))).filter(complete)
 
 
-def group_frame(df: DataFrame, pairs: Pairs, top_n: int = 8, min_size: int = 30, marked: bool = False) -> DataFrame:
-    """(pair, level, value) ready for testing; pairs with fewer than two valid groups are absent."""
+def group_frame(
+    df: DataFrame, pairs: Pairs, top_n: int = 8, min_size: int = 30, marked: bool = False, reused: bool = True
+) -> DataFrame:
+    """(pair, level, value) ready for testing; pairs with fewer than two valid groups are absent.
+
+    ``reused`` writes the frame once, since most tests read it several times.
+    """
     long = long_pairs(df, pairs, marked)
     counts = long.groupBy("pair", "label").agg(F.count(F.lit(1)).alias("n"))
     kept, valid = collapsed_levels(counts, top_n, min_size)
     # Both lists have at most (top_n + 1) rows per pair.
     named = long.join(F.broadcast(kept.withColumn("level", F.col("label"))), ["pair", "label"], "left")
     named = named.withColumn("level", F.coalesce("level", F.lit(OTHER))).drop("label")
-    return named.join(F.broadcast(valid.select("pair", "level")), ["pair", "level"], "left_semi")
+    frame = named.join(F.broadcast(valid.select("pair", "level")), ["pair", "level"], "left_semi")
+    return materialise(frame) if reused else frame
 
 
 def skip_reasons(df: DataFrame, pairs: Pairs, top_n: int = 8, min_size: int = 30) -> DataFrame:

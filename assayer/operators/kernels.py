@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.session import materialise
+
 SMALL_SIDE_ROWS = 200_000
 RANGE_ROWS = 200_000
 
@@ -29,7 +31,7 @@ def sized_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     size. It is materialised once (and reused by the join); beyond the limit it
     stays an ordinary shuffled side, where AQE splits skewed partitions.
     """
-    side = df.persist()
+    side = materialise(df)
     return F.broadcast(side) if side.count() <= max_rows else side
 
 
@@ -168,7 +170,7 @@ def running_counts(
     before the plan is built, so every task, first run or rerun, uses the same.
     """
     by = list(keys)
-    counts = counts.persist()
+    counts = materialise(counts)
     most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels")).agg(F.max("levels")).first()[0] or 0
     pieces = int(most // range_rows) + 1
 

@@ -11,7 +11,7 @@ from assayer.operators import derive as D
 from assayer.operators import profile as A
 from assayer.operators.dedup import duplicate_summary
 from assayer.plans.clean import clean, coerce
-from assayer.session import ensure_checkpoint_dir
+from assayer.session import materialise
 from assayer.spec import Spec
 
 
@@ -95,8 +95,7 @@ def quality_report(df: DataFrame, spec: Spec, nfkc: str | bool = "auto", cleaned
     the checkpoint folder, because every fact reads it.
     """
     if cleaned is None:
-        ensure_checkpoint_dir(df.sparkSession)
-        cleaned = clean(df, spec, nfkc).checkpoint()
+        cleaned = materialise(clean(df, spec, nfkc))
     base = coerce(df, spec, nfkc)
     corrected = base.agg(
         F.count_if(F.col(spec.price) < 0).alias("negative_prices"), F.count_if(F.col(spec.duration) < 0).alias("negative_durations")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. Partition counts are left to AQE, which starts from
 # spark.sql.shuffle.partitions and merges or splits from there.
@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture doubles the driver's work on plans with hundreds of expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -49,3 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(shared)
     return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the checkpoint folder and read it back from there.
+
+    For results several later steps read. Unlike a cache it takes no executor
+    memory and survives the loss of executors; it also cuts the plan short.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

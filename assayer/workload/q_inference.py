@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("group_frame", framed("SELECT pair, level, value, count(*) AS n FROM FR GROUP BY ALL", PAIRS), "value")
 def _(spark, sf):
-    return frame(spark, sf, PAIRS).groupBy("pair", "level", "value").agg(F.count(F.lit(1)).alias("n"))
+    return frame(spark, sf, PAIRS, reused=False).groupBy("pair", "level", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("group_eligibility")
@@ -154,7 +154,7 @@ SQ AS (SELECT m.pair, any_value(k) AS k, any_value(n_total) AS n_total, sum(n *
 @query("anova_f", framed("""SELECT pair, k AS n_groups, n_total AS n_used, (between_ss / (k - 1)) / (within_ss / (n_total - k)) AS f, k - 1 AS df_between,
   n_total - k AS df_within, between_ss / (between_ss + within_ss) AS eta_squared FROM SQ""", PAIRS, _anova_ctes("FR")), "f eta_squared")
 def _(spark, sf):
-    return G.anova(frame(spark, sf, PAIRS))
+    return G.anova(frame(spark, sf, PAIRS, reused=False))
 
 
 _SPREAD = """MD AS (SELECT pair, level, quantile_cont(value, 0.5) AS median FROM FR GROUP BY pair, level),
@@ -174,7 +174,7 @@ SELECT pair, left_group, right_group, n_left, n_right, (ma - mb) / sqrt(ea + eb)
 FROM (SELECT a.pair, a.level AS left_group, b.level AS right_group, a.n AS n_left, b.n AS n_right, a.mean AS ma, b.mean AS mb, a.var AS va, b.var AS vb,
         a.var / a.n AS ea, b.var / b.n AS eb FROM MO a JOIN MO b ON a.pair = b.pair AND a.level < b.level)""", [*TWO, *FEW], _MOMENTS), "t df cohens_d")
 def _(spark, sf):
-    return G.welch(frame(spark, sf, [*TWO, *FEW]))
+    return G.welch(frame(spark, sf, [*TWO, *FEW], reused=False))
 
 
 _U_CTES = """LP AS (SELECT DISTINCT a.pair, a.level AS l, b.level AS r FROM (SELECT DISTINCT pair, level FROM FR) a JOIN (SELECT DISTINCT pair, level FROM FR) b
