@@ -25,8 +25,10 @@ from assayer.spec import (
     UNKNOWN_UNIT_LABEL,
 )
 
-# Unicode white space plus the four ASCII separators Java leaves out of it.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Unicode white space and the ASCII separators, as code point ranges.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Only runs that differ from one plain space, so ordinary text is scanned but not rewritten.
+UNEVEN_SPACE = rf"[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+"
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -58,25 +60,37 @@ def _ascii_fold(values: pd.Series) -> pd.Series:
 
 
 def _only_non_ascii(function, column: Column) -> Column:
-    return F.coalesce(function(F.when(column.rlike(NON_ASCII), column)), column)
+    return F.coalesce(function(F.when(~is_ascii(column), column)), column)
+
+
+def is_ascii(column: Column) -> Column:
+    """As many bytes as characters: no pattern matching needed."""
+    return F.octet_length(column) == F.length(column)
+
+
+def _tidy(text: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(text, UNEVEN_SPACE, " ")), F.lit(""))
 
 
 def normalize_text(column: Column, nfkc: bool = False) -> Column:
     """Collapse white space, trim, and turn the empty string into null."""
     text = column.cast("string")
+    return _tidy(_only_non_ascii(_nfkc, text) if nfkc else text)
+
+
+def token_of(text: Column, nfkc: bool = False) -> Column:
+    """Token of an already normalised text. Only non-ASCII texts are folded and tidied again."""
+    lower = F.lower(text)
     if nfkc:
-        text = _only_non_ascii(_nfkc, text)
-    return F.nullif(F.trim(F.regexp_replace(text, WHITESPACE, " ")), F.lit(""))
+        folded = _ascii_fold(F.when(~is_ascii(lower), lower))
+    else:
+        folded = F.regexp_replace(F.translate(lower, _ACCENTED, _PLAIN), NON_ASCII, "")
+    return F.when(is_ascii(text), lower).otherwise(_tidy(folded))
 
 
 def normalize_token(column: Column, nfkc: bool = False) -> Column:
     """Lower case, no accents, ASCII only: the form placeholder lists are compared in."""
-    text = F.lower(normalize_text(column, nfkc))
-    if nfkc:
-        folded = _only_non_ascii(_ascii_fold, text)
-    else:
-        folded = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), NON_ASCII, "")
-    return F.nullif(F.trim(F.regexp_replace(folded, WHITESPACE, " ")), F.lit(""))
+    return token_of(normalize_text(column, nfkc), nfkc)
 
 
 def canonicalize_text(
@@ -85,19 +99,25 @@ def canonicalize_text(
     preserve_unknown: bool = False,
     missing_label: str | None = None,
     nfkc: bool = False,
+    normalized: bool = False,
 ) -> Column:
-    """Replace placeholder texts by null (or a label); keep everything else normalised."""
+    """Replace placeholder texts by null (or a label); keep everything else normalised.
+
+    ``normalized`` says the column already went through ``normalize_text`` in an
+    earlier projection, so that work is not repeated inside this expression.
+    """
+    text = column if normalized else normalize_text(column, nfkc)
     labels = {
         **dict.fromkeys(MISSING_TOKENS + NOT_YET_TOKENS, missing_label),
         **dict.fromkeys(NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL if preserve_not_applicable else missing_label),
         **dict.fromkeys(UNKNOWN_TOKENS, UNKNOWN_UNIT_LABEL if preserve_unknown else missing_label),
     }
     # One branch per distinct label, so the token is computed once in the usual case.
-    token, chain = normalize_token(column, nfkc), F
+    token, chain = token_of(text, nfkc), F
     for label in dict.fromkeys(labels.values()):
         tokens = [t for t, target in labels.items() if target == label]
         chain = chain.when(token.isin(*tokens), F.lit(label).cast("string"))
-    return chain.otherwise(normalize_text(column, nfkc))
+    return chain.otherwise(text)
 
 
 def missing_state(column: Column) -> Column:
@@ -124,10 +144,10 @@ def text_length(column: Column) -> Column:
     return F.length(trimmed(column))
 
 
-def multivalue_text(column: Column) -> Column:
+def multivalue_text(column: Column, normalized: bool = False) -> Column:
     """``"[a, b, a]"`` to ``"a, b"``: brackets off, blanks out, first occurrence kept."""
-    text = normalize_text(column)
-    inner = F.when(text.rlike(r"^\[.*\]$"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    text = column if normalized else normalize_text(column)
+    inner = F.when(F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]")) & (F.length(text) >= 2), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     pieces = F.transform(F.split(inner, ","), lambda piece: F.trim(piece))
     return F.nullif(
         F.array_join(F.array_distinct(F.filter(pieces, lambda piece: piece != "")), ", "), F.lit("")

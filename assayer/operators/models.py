@@ -18,6 +18,7 @@ from assayer.operators.groups import OTHER
 from assayer.operators.kernels import frequencies
 from assayer.operators.lookups import sample_rows
 from assayer.operators.profile import _top
+from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 MIN_SPARE_ROWS = 10
@@ -49,9 +50,11 @@ def design_matrix(
     """Numbers as they are, categories as 0/1 columns without their first level, complete rows only.
 
     Rare and missing categories become ``Other``. Columns without variation are
-    left out. Two small looks at the data (level counts, ranges) fix the columns.
+    left out. Two small looks at the data (level counts, ranges) fix the columns; the
+    needed columns are written once, as the looks and the fit all read them.
     """
     numbers = [*continuous, *binary]
+    df = materialise(df.select(target, *numbers, *categorical))
     kept = _kept_levels(df, categorical, top_n, min_size) if categorical else {}
 
     def level(name: str) -> Column:

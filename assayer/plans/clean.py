@@ -24,7 +24,7 @@ def non_ascii_columns(df: DataFrame, columns: list[str]) -> set[str]:
     """Text columns holding any non-ASCII character: one aggregate over the table."""
     if not columns:
         return set()
-    row = df.agg(*[F.bool_or(F.coalesce(F.col(c).rlike(X.NON_ASCII), F.lit(False))).alias(c) for c in columns]).first()
+    row = df.agg(*[F.bool_or(~X.is_ascii(F.col(c))).alias(c) for c in columns]).first()
     return {c for c in columns if row[c]}
 
 
@@ -37,9 +37,9 @@ def coerce(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != spec.url]
     textual = [c for c in strings if c not in spec.dates and c not in spec.numeric]
     wide = non_ascii_columns(df, textual) if nfkc == "auto" else (set(textual) if nfkc else set())
-    canonical = {c for c in (*spec.text, spec.description, *spec.places) if c}
+    canonical = {c for c in (*spec.text, spec.description, spec.multi_value, *spec.places) if c}
 
-    def changed(name: str) -> Column | None:
+    def typed(name: str) -> Column | None:
         column = F.col(name)
         if name == spec.url:
             return X.flatten_url(df, name)
@@ -47,18 +47,17 @@ def coerce(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
             return N.to_timestamp(column)
         if name in spec.numeric:
             return N.to_number(column) if name in strings else N.finite(column)
-        if name == spec.multi_value:
-            return X.multivalue_text(X.canonicalize_text(column, nfkc=name in wide))
-        if name == spec.duration_unit:
-            return X.normalize_text(column, name in wide)
-        if name in canonical and name in strings:
-            return X.canonicalize_text(column, name in spec.keep_not_applicable, nfkc=name in wide)
-        if name in strings:
-            return X.normalize_text(column, name in wide)
-        return None
-
-    changes = {name: column for name in df.columns if (column := changed(name)) is not None}
-    return df.withColumns(changes)
+        return X.normalize_text(column, name in wide) if name in strings else None
+
+    def canonical_form(name: str) -> Column:
+        text = X.canonicalize_text(F.col(name), name in spec.keep_not_applicable, nfkc=name in wide, normalized=True)
+        return X.multivalue_text(text, normalized=True) if name == spec.multi_value else text
+
+    # Two projections: the second reads each normalised text several times.
+    first = {name: column for name in df.columns if (column := typed(name)) is not None}
+    second = {name: canonical_form(name) for name in textual if name in canonical and name != spec.duration_unit}
+    out = df.withColumns(first)
+    return out.withColumns(second) if second else out
 
 
 def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:

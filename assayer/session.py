@@ -13,8 +13,14 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+# Settings only a new session can take.
+STARTUP_CONF = {
     # Call-site capture doubles the driver's work on plans with hundreds of expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Intermediates written by ``materialise`` go away with the frame that used them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,7 +34,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def session(app_name: str = "assayer", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STARTUP_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
