@@ -25,10 +25,13 @@ from assayer.spec import (
     UNKNOWN_UNIT_LABEL,
 )
 
-# Unicode white space and the ASCII separators, as code point ranges.
-_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# Only runs that differ from one plain space, so ordinary text is scanned but not rewritten.
-UNEVEN_SPACE = rf"[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+"
+# White space as Unicode defines it, plus the four ASCII separators.
+# Single characters rather than ranges: the regex engine tests those with one table look-up.
+_ASCII_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+_SPACE = rf"{_ASCII_SPACE} \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"
+SPACE_RUN = rf"[{_SPACE}]+"
+# What makes an ASCII text uneven: any white space but the plain space, or two spaces in a row.
+UNEVEN_ASCII = rf"[{_ASCII_SPACE}]|  "
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -69,7 +72,10 @@ def is_ascii(column: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(text, UNEVEN_SPACE, " ")), F.lit(""))
+    """Even ASCII text, the usual case, is only looked at; the rest is rewritten."""
+    even = is_ascii(text) & ~text.rlike(UNEVEN_ASCII)
+    spaced = F.when(even, text).otherwise(F.regexp_replace(text, SPACE_RUN, " "))
+    return F.nullif(F.trim(spaced), F.lit(""))
 
 
 def normalize_text(column: Column, nfkc: bool = False) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import numbers as N
 from assayer.functions import text as X
 from assayer.operators.kernels import exact_quantiles, sized_side
+from assayer.session import materialise
 from assayer.spec import (
     DURATION_FLOOR_DAYS,
     DURATION_QUANTILE,
@@ -54,7 +55,8 @@ def with_price_flags(df: DataFrame, spec: Spec, reference: DataFrame | None = No
     deduplication in the cleaning plan); by default the table itself.
     """
     price = spec.price
-    source = df if reference is None else reference
+    needed = [c for c in (price, spec.price_group) if c]
+    source = materialise(df.select(*needed)) if reference is None else reference  # read by four passes
     joined = df.withColumn(price, N.non_negative(F.col(price)))
     limit = global_threshold(source, F.col(price), PRICE_QUANTILE).scalar()
     if spec.price_group:

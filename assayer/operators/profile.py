@@ -66,29 +66,36 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ).orderBy(F.desc("null_pct"), F.desc("null_count"), "column")
 
 
-def is_placeholder(column: Column) -> Column:
-    return F.coalesce(X.normalize_token(column).isin(*PLACEHOLDER_TOKENS), F.lit(False))
+def is_placeholder(text: Column) -> Column:
+    """Placeholder test on an already normalised text."""
+    return F.coalesce(X.token_of(text).isin(*PLACEHOLDER_TOKENS), F.lit(False))
 
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def normalised(df: DataFrame) -> DataFrame:
+    """Text columns normalised in a projection of their own, so later expressions can read them repeatedly."""
+    return df.withColumns({c: X.normalize_text(F.col(c)) for c in text_columns(df)})
+
+
 def placeholder_counts(df: DataFrame) -> DataFrame:
     """Placeholder tokens per text column, columns without any left out."""
-    counts = wide_to_rows(df, {c: {"placeholders": F.count_if(is_placeholder(F.col(c)))} for c in text_columns(df)})
+    texts = text_columns(df)
+    flags = normalised(df.select(*texts)).select(*[is_placeholder(F.col(c)).alias(c) for c in texts])
+    counts = wide_to_rows(flags, {c: {"placeholders": F.count_if(F.col(c))} for c in texts})
     return counts.filter("placeholders > 0").orderBy(F.desc("placeholders"), "column")
 
 
 def expanded_nulls(df: DataFrame) -> DataFrame:
     """Null share counting placeholder texts as null."""
-    textual = set(text_columns(df))
-    measures = {
-        c: {"nulls": F.count_if(F.col(c).isNull()),
-            "expanded": F.count_if(F.col(c).isNull() | is_placeholder(F.col(c)) if c in textual else F.col(c).isNull())}
-        for c in df.columns
-    }
-    rows = wide_to_rows(df, measures, {"rows": F.count(F.lit(1))})
+    texts = set(text_columns(df))
+    flags = normalised(df.withColumns({f"n|{c}": F.col(c).isNull() for c in df.columns})).select(
+        *[f"n|{c}" for c in df.columns], *[(F.col(f"n|{c}") | is_placeholder(F.col(c)) if c in texts else F.col(f"n|{c}")).alias(f"e|{c}") for c in df.columns]
+    )
+    measures = {c: {"nulls": F.count_if(F.col(f"n|{c}")), "expanded": F.count_if(F.col(f"e|{c}"))} for c in df.columns}
+    rows = wide_to_rows(flags, measures, {"rows": F.count(F.lit(1))})
     return rows.select("column", pct(F.col("nulls"), F.col("rows")).alias("null_pct"),
                        pct(F.col("expanded"), F.col("rows")).alias("expanded_null_pct"))
 
@@ -332,13 +339,6 @@ def overview(df: DataFrame, identifiers: Sequence[str], groups: Mapping[str, int
     )
 
 
-def stored_megabytes(spark, path: str) -> float:
-    """Size of a Parquet table on storage, the counterpart of a frame's size in memory."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.getContentSummary(hadoop).getLength() / (1024.0 * 1024.0)
-
-
 # -- bivariate --------------------------------------------------------------
 
 

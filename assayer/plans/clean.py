@@ -17,6 +17,7 @@ from assayer.functions import numbers as N
 from assayer.functions import text as X
 from assayer.operators import derive as D
 from assayer.operators.dedup import drop_exact, drop_logical
+from assayer.session import materialise
 from assayer.spec import Spec
 
 
@@ -81,7 +82,9 @@ def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
     base = coerce(df, spec, nfkc)
-    derived = _derive(drop_exact(base), spec, base)
+    needed = [c for c in (spec.price, spec.price_group, spec.duration, spec.duration_unit) if c]
+    reference = materialise(base.select(*dict.fromkeys(needed)))  # the few columns the threshold passes read
+    derived = _derive(drop_exact(base), spec, reference)
     candidates = [c for c in derived.columns if c not in spec.dropped and c != "was_exact_duplicate"]
     single = drop_logical(derived, spec.id, candidates, spec.latest, spec.tie_break)
     return single.drop(*[c for c in spec.dropped if c in single.columns])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions import text as X
 from assayer.operators import derive as D
 from assayer.operators import profile as A
 from assayer.operators.dedup import duplicate_summary
@@ -69,9 +70,10 @@ def _facts(frame: DataFrame, stage: str, spec: Spec) -> DataFrame:
 
     measures = {
         c: {"nulls": F.count_if(F.col(c).isNull()), "constant": constant(c),
-            "placeholders": F.count_if(A.is_placeholder(F.col(c))) if c in text else F.count_if(F.lit(False))} for c in frame.columns
+            "placeholders": F.count_if(A.is_placeholder(F.col(f"t|{c}"))) if c in text else F.count_if(F.lit(False))} for c in frame.columns
     }
-    per_column = A.wide_to_rows(frame, measures).unpivot(["column"], ["nulls", "constant", "placeholders"], "section", "value")
+    texts = frame.withColumns({f"t|{c}": X.normalize_text(F.col(c)) for c in text}) if text else frame
+    per_column = A.wide_to_rows(texts, measures).unpivot(["column"], ["nulls", "constant", "placeholders"], "section", "value")
     repeated = duplicate_summary(frame, [[spec.id]])
     parts = [
         sizes.unpivot([], ["rows", "exact_duplicates", "columns"], "item", "value").withColumn("section", F.lit("size")),

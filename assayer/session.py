@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles a method above 8000 bytecodes; wide projections then run
+    # interpreted. Above this limit Spark falls back to split, compilable functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Settings only a new session can take.

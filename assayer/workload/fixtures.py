@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.sources.scan import load
 from assayer.spec import Spec
 
 LINE_COLUMNS = ("received", "opened", "effective", "n_lines", "n_suppliers", "n_returned", "n_discounted")
@@ -43,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     handle = (spark.sparkContext.applicationId, path)
     if handle not in _scans:
-        _scans[handle] = spark.read.parquet(path)
+        _scans[handle] = load(spark, path)
     return _scans[handle]
 
 
