@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.session import materialise
 
@@ -63,6 +64,8 @@ def _brackets(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accu
 
     The sketch guarantees a rank error of n / accuracy; four times that is left
     on both sides, and the ends of the scale use the true minimum and maximum.
+    Groups of up to four times ``accuracy`` rows take their whole range, because
+    there the slack may be less than the two neighbouring ranks interpolation needs.
     """
     slack = 4.0 / accuracy
     lows = [p - slack for p in probs]
@@ -81,8 +84,9 @@ def _brackets(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accu
             return F.col("highest")
         return F.col("sketch")[asked.index(x)]
 
-    ends = [at(x).alias(f"lo_{i}") for i, x in enumerate(lows)]
-    ends += [at(x).alias(f"hi_{i}") for i, x in enumerate(highs)]
+    small = F.col("n") <= 4 * accuracy
+    ends = [F.when(small, F.col("lowest")).otherwise(at(x)).alias(f"lo_{i}") for i, x in enumerate(lows)]
+    ends += [F.when(small, F.col("highest")).otherwise(at(x)).alias(f"hi_{i}") for i, x in enumerate(highs)]
     return grouped.select(*keys, "n", "lowest", "highest", *ends)
 
 
@@ -181,10 +185,10 @@ def running_counts(
     if pieces == 1:
         return counts.withColumns(running(by))
 
-    cuts = F.percentile_approx(value, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(max(1000, 10 * pieces)))
+    cuts = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(max(1000, 10 * pieces)))
     # One row per key (a column or a pair of columns) with `pieces` numbers each.
     fixed = counts.groupBy(*by).agg(cuts.alias("__cuts")).collect()
-    schema = counts.select(*by).schema.add("__cuts", "array<double>")
+    schema = counts.select(*by).schema.add("__cuts", T.ArrayType(T.DoubleType()))
     bounds = F.broadcast(counts.sparkSession.createDataFrame([tuple(r) for r in fixed], schema))
     ranged = counts.join(bounds, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
