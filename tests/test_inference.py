@@ -115,3 +115,19 @@ def test_logistic_model_and_skips(spark, table):
     constant = M.fit_logistic(M.design_matrix(df.withColumn("hit", F.lit(1)), "hit", ["v"]))
     assert constant[1].first()["skip_reason"] == "target_has_single_class"
     assert M.fit_linear(M.design_matrix(df.limit(0), "v", ["x"]))[1].first()["skip_reason"] == "no_complete_cases"
+
+
+def test_inference_plan(spark, table):
+    from assayer import Spec
+    from assayer.plans.infer import Analysis, infer
+
+    _, df = table
+    named = df.withColumns({"id": F.xxhash64("v", "x").cast("string"), "hit": (F.col("x") + F.col("v") / 40 > 0.8).cast("int")})
+    found = infer(named, Spec(id="id"), Analysis(
+        outcomes=["v", "x"], grouping=["g", "flag"], categorical=["g", "flag"], numeric=["v", "x"], binary=["hit"],
+        linear_target="v", logistic_target="hit", continuous_predictors=["v"], categorical_predictors=["g"],
+    ))
+    assert found["group_comparisons"].count() == 4
+    assert found["categorical_associations"].first()["status"] == "ok"
+    assert found["logistic_diagnostics"].first()["status"] == "ok"
+    assert {"linear_coefficients", "posthoc", "mean_intervals"} <= set(found)
