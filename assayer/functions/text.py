@@ -193,7 +193,7 @@ def _lookup(pairs: dict[str, object], token: Column) -> Column:
 
 def duration_unit(column: Column, nfkc: bool = False) -> Column:
     """Canonical unit name; anything not recognised is the unknown-unit label."""
-    names = dict.fromkeys(NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL)
+    names = dict.fromkeys((*NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL.lower()), NOT_APPLICABLE_LABEL)
     for name, (spellings, _) in DURATION_UNITS.items():
         names.update(dict.fromkeys(spellings, name))
     token = normalize_token(column, nfkc)

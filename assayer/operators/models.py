@@ -53,7 +53,8 @@ def design_matrix(
     left out. Two small looks at the data (level counts, ranges) fix the columns; the
     needed columns are written once, as the looks and the fit all read them.
     """
-    numbers = [*continuous, *binary]
+    numbers = [c for c in (*continuous, *binary) if c != target]
+    categorical = [c for c in categorical if c != target]
     df = materialise(df.select(target, *numbers, *categorical))
     kept = _kept_levels(df, categorical, top_n, min_size) if categorical else {}
 

@@ -3,8 +3,8 @@
 normalise and coerce -> thresholds -> exact dedup -> derive -> logical dedup -> drop
 
 Thresholds come from the rows before deduplication. Exact dedup groups by the
-coerced base columns only: every derived column is a function of its row, so
-the grouping is the same and the shuffle is narrower.
+base columns in their final form (negatives gone, units canonical): every added
+column is a function of them, so the grouping is the same and the shuffle is narrower.
 """
 
 from __future__ import annotations
@@ -67,8 +67,6 @@ def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:
         out = D.with_price_flags(out, spec, reference)
     if spec.duration and spec.duration_unit:
         out = D.with_duration(out, spec, reference)
-    counters = {c: N.non_negative(F.col(c)) for c in spec.counters if c in out.columns}
-    out = out.withColumns(counters) if counters else out
     rules = D.temporal_rules(spec)
     return out.withColumns({
         **D.presence_flags(spec),
@@ -80,8 +78,17 @@ def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:
     })
 
 
+def corrected(df: DataFrame, spec: Spec) -> DataFrame:
+    """Negative amounts to null and units to their canonical name, in place."""
+    amounts = [c for c in (spec.price, spec.duration, *spec.counters) if c in df.columns]
+    changes = {c: N.non_negative(F.col(c)) for c in amounts}
+    if spec.duration_unit in df.columns:
+        changes[spec.duration_unit] = X.duration_unit(F.col(spec.duration_unit))
+    return df.withColumns(changes) if changes else df
+
+
 def clean(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
-    base = coerce(df, spec, nfkc)
+    base = corrected(coerce(df, spec, nfkc), spec)
     needed = [c for c in (spec.price, spec.price_group, spec.duration, spec.duration_unit) if c]
     reference = materialise(base.select(*dict.fromkeys(needed)))  # the few columns the threshold passes read
     derived = _derive(drop_exact(base), spec, reference)

@@ -583,7 +583,8 @@ _CLEAN_OUT = (
 
 CLEAN_CTES = (
     f"""
-B AS (SELECT * REPLACE ({sql_canonical('description')} AS description, {sql_canonical('segment')} AS segment,
+B AS (SELECT * REPLACE (CASE WHEN base_price >= 0 THEN base_price END AS base_price, CASE WHEN duration >= 0 THEN duration END AS duration,
+        {sql_canonical('description')} AS description, {sql_canonical('segment')} AS segment,
         nullif(array_to_string(list_filter(list_transform(string_split(CASE WHEN tags LIKE '[%]' THEN substr(tags, 2, length(tags) - 2)
           ELSE tags END, ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(
           CASE WHEN tags LIKE '[%]' THEN substr(tags, 2, length(tags) - 2) ELSE tags END, ','), lambda x2: trim(x2)), x) = i), ', '), '') AS tags)

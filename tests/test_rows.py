@@ -95,6 +95,12 @@ def test_cleaning_restores_the_original_rows(spark):
     assert not set(SPEC.dropped) & set(cleaned.columns)
 
 
+def test_rows_equal_after_correction_are_exact_copies(spark):
+    rows = processes(spark, SF).filter("proc_key = 97").withColumn("base_price", F.lit(-3.0))
+    cleaned = clean(rows.unionByName(rows.withColumn("base_price", F.lit(None).cast("double"))), SPEC).collect()
+    assert len(cleaned) == 1 and cleaned[0]["was_exact_duplicate"] and not cleaned[0]["was_logical_duplicate"]
+
+
 def test_scores_do_not_depend_on_partitioning(spark):
     rows = processes(spark, SF)
     columns = ["proc_id", "quality_score", "risk_level", "label_confidence"]
