@@ -54,6 +54,13 @@ def op5_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.tokens import count_tokens
@@ -61,6 +68,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.html import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 @query()
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.frames import read_token_files, write_token_files
