@@ -123,3 +123,14 @@ def repetition_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...
 
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return docs.select(*[F.col(c) for c in keep], text_or_empty(text)).mapInArrow(run, f"{carried}, {SCHEMA}")
+
+
+def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose verdict is to keep, with the same columns; a map over the scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [measure(data, offsets)["kept"] for _, _, data, offsets in texts_of(batch, text)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -33,6 +33,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.mixing import mix
@@ -54,6 +61,13 @@ def op5_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.decontaminate import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.licenses import scan_licenses
