@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Prefixes, mixed, text_or_empty, texts_of, word_bounds
+from assayer.llm.common import Prefixes, mixed, per_row, slices, text_or_empty, texts_of, word_bounds
 from assayer.llm.pretokens import HashTable
 
 SIMILARITY = 0.8  # 1 - word edits / words of the item
@@ -25,6 +25,7 @@ MIN_WORDS = 5  # an item of fewer words is not told from ordinary text and is le
 STEPS, SAMPLED = 8, 5  # of a walk, and of them in one hash; the first step is always sampled
 RECALL = 0.99  # of matches at the edit limit, spread against us
 MOST_REPETITIONS = 64
+WINDOW_WORDS = 1 << 20  # of candidates that are looked up at once
 BLOCK_WORDS = 1 << 20  # item words that are searched for at once: their index is broadcast, a few tens of MB at most
 
 
@@ -113,6 +114,10 @@ def nearest(item: list[int], window: list[int], limit: int) -> tuple[int, int, i
     return distance, end - back, end
 
 
+def _member(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mixed(words ^ mixed(item.astype(np.uint64) + np.uint64(1))) | np.uint64(1)
+
+
 @dataclass
 class Index:
     """Benchmark items and the LSH keys of every place in them, to be broadcast."""
@@ -124,6 +129,9 @@ class Index:
     bounds: list[np.ndarray]
     places: list[np.ndarray]  # (item, offset)
     vocabulary: HashTable
+    members: HashTable  # (item, word)
+    sizes: np.ndarray
+    slack: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int | None, np.ndarray]]) -> Index:
@@ -147,7 +155,10 @@ class Index:
         known = np.unique(flat)
         vocabulary = HashTable(len(known))
         vocabulary.add(known, np.arange(len(known), dtype=np.int32))
-        return cls(ids, words, steps, tables, bounds, places, vocabulary)
+        held = np.unique(_member(flat, item))
+        members = HashTable(len(held))
+        members.add(held, np.arange(len(held), dtype=np.int32))
+        return cls(ids, words, steps, tables, bounds, places, vocabulary, members, sizes, np.array([edits(int(n)) for n in sizes]))
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end word) for every item that a row holds, its nearest place each."""
@@ -163,39 +174,42 @@ class Index:
             which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             place = self.places[seed][which]
             pairs.append(np.stack([np.repeat(begin[hit], n) - place[:, 1], place[:, 0]], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        if not len(pairs):
-            return []
-        start, item = pairs[:, 0], pairs[:, 1]
-        size = np.array([len(w) for w in self.words])[item]
-        slack = np.array([edits(len(w)) for w in self.words])[item]
-        return self._verified(words, bounds, start, item, size, slack)
-
-    def _verified(
-        self, words: np.ndarray, bounds: np.ndarray, start: np.ndarray, item: np.ndarray, size: np.ndarray, slack: np.ndarray,
-    ) -> list[tuple[int, int, int, int, int]]:
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return self._verified(words, bounds, pairs[:, 0], pairs[:, 1])
+
+    def _windows(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, low, high) of the windows to look at: overlapping places of one item are one, and those too poor in its words go.
+
+        An item within the limit finds all but so many of its words in the window.
+        """
+        order = np.lexsort((start, item))
+        start, item = start[order], item[order]
+        size, slack = self.sizes[item], self.slack[item]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
+        at = np.flatnonzero(fresh)
+        last = np.append(at[1:], len(start)) - 1
+        low, high = np.maximum(0, start[at] - slack[at]), np.minimum(len(words), start[last] + size[at] + slack[at])
+        item = item[at]
+        rich = np.zeros(len(at), bool)
+        upto = np.concatenate([[0], np.cumsum(high - low)])
+        for a, b in slices(upto, WINDOW_WORDS):
+            n = high[a:b] - low[a:b]
+            place = np.repeat(low[a:b] - (upto[a:b] - upto[a]), n) + np.arange(n.sum())
+            held = self.members.find(_member(words[place], np.repeat(item[a:b], n))) >= 0
+            rich[a:b] = per_row(held, upto[a : b + 1] - upto[a]) >= (self.sizes - self.slack)[item[a:b]]
+        return item[rich], low[rich], high[rich]
+
+    def _verified(self, words: np.ndarray, bounds: np.ndarray, start: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Candidates (item would begin at ``start``) by exact edit distance, within each row that a window touches."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        order = np.lexsort((start, item))
-        start, item, size, slack = start[order], item[order], size[order], slack[order]
-        k = 0
-        while k < len(start):
-            last = k  # places of one item that overlap are one window
-            while last + 1 < len(start) and item[last + 1] == item[k] and start[last + 1] - start[last] <= size[k]:
-                last += 1
-            low, high = max(0, int(start[k] - slack[k])), min(len(words), int(start[last] + size[k] + slack[k]))
-            mine = self.words[item[k]]
-            window = words[low:high]
-            if np.isin(mine, window).sum() >= size[k] - slack[k]:  # each missing word costs an edit
-                for r in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
-                    a, b = max(low, int(bounds[r])), min(high, int(bounds[r + 1]))
-                    if b - a >= size[k] - slack[k]:
-                        got = nearest(mine.tolist(), words[a:b].tolist(), int(slack[k]))
-                        if got:
-                            found = (got[0], a - int(bounds[r]) + got[1], a - int(bounds[r]) + got[2])
-                            key = (r, int(item[k]))
-                            best[key] = min(best.get(key, found), found)
-            k = last + 1
+        for k, low, high in zip(*(x.tolist() for x in self._windows(words, start, item)), strict=True):
+            mine, slack = self.words[k].tolist(), int(self.slack[k])
+            for r in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
+                a, b = max(low, int(bounds[r])), min(high, int(bounds[r + 1]))
+                if b - a >= len(mine) - slack and (got := nearest(mine, words[a:b].tolist(), slack)):
+                    found = (got[0], a - int(bounds[r]) + got[1], a - int(bounds[r]) + got[2])
+                    best[r, k] = min(best.get((r, k), found), found)
         return [(r, i, *found) for (r, i), found in best.items()]
 
 
