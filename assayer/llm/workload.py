@@ -54,6 +54,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.suffixes import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.quality import repetition_quality
