@@ -6,8 +6,9 @@
 * ``sized_side``      broadcast side only after its size has been looked at
 
 Exact quantiles and ranks never sort raw rows. Rows are first reduced to
-(value, count), so a value held by a third of the table is one row, and the
-remaining order work is cut into ranges.
+(value, count), so a value held by a third of the table is one row. What is then
+ordered is bounded: for quantiles by narrowing each value range until it holds a
+fixed number of rows, for ranks by range partitions of a fixed length.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assayer.session import materialise
 
 SMALL_SIDE_ROWS = 200_000
 RANGE_ROWS = 200_000
+ORDERED_ROWS = 100_000  # rows that one value range may leave to be ordered
+GRID = 500  # cut points of a range in one narrowing
+MARGIN = 2  # of them, kept on either side: many times the sketch's error
 
 
 def sized_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -90,6 +93,59 @@ def _brackets(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accu
     return grouped.select(*keys, "n", "lowest", "highest", *ends)
 
 
+def _narrowed(long: DataFrame, ranges: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """The same ranges, each cut down to a few of GRID parts of the rows strictly inside it.
+
+    One pass: rows below or at the lower end are counted, rows inside are sketched, and the wanted rank says between which
+    cut points to stay. A value that many rows share becomes an end of its range and is no longer counted inside it.
+    """
+    count = len(probs)
+    value = F.col("value")
+    cuts = F.array(*[F.lit(k / GRID) for k in range(1, GRID)])
+    placed = null_safe_join(long, ranges.select(*by, *[f"{e}_{i}" for e in ("lo", "hi") for i in range(count)]), by)
+    measures = []
+    for i in range(count):
+        inside = (value > F.col(f"lo_{i}")) & (value < F.col(f"hi_{i}"))
+        measures += [
+            F.count_if(value <= F.col(f"lo_{i}")).alias(f"before_{i}"), F.count_if(inside).alias(f"inside_{i}"),
+            F.percentile_approx(F.when(inside, value), cuts, F.lit(max(accuracy, 10 * GRID))).alias(f"grid_{i}"),
+        ]
+    joined = null_safe_join(ranges, placed.groupBy(*by).agg(*measures), by)
+    ends = []
+    for i, p in enumerate(probs):
+        position = (F.col("n") - 1) * F.lit(float(p))
+        before, size, grid = F.col(f"before_{i}"), F.col(f"inside_{i}"), F.col(f"grid_{i}")
+        low, high = F.col(f"lo_{i}"), F.col(f"hi_{i}")
+        first, last = F.floor(position) - before, F.ceil(position) - before  # ranks among the rows inside
+        left = (F.floor(first * GRID / size) - MARGIN).cast("int")
+        right = (F.ceil((last + 1) * GRID / size) + MARGIN).cast("int")
+        ends += [
+            F.when(first >= size, high).when((first < 0) | (size == 0) | (left < 1), low).otherwise(F.get(grid, left - 1)).alias(f"lo_{i}"),
+            F.when(last < 0, low).when((last >= size) | (size == 0) | (right > GRID - 1), high).otherwise(F.get(grid, right - 1)).alias(f"hi_{i}"),
+        ]
+    return joined.select(*by, "n", "lowest", "highest", *ends)
+
+
+def _bounded_ranges(
+    long: DataFrame, ranges: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int, ordered_rows: int
+) -> DataFrame:
+    """Value ranges that leave at most about ``ordered_rows`` rows to be ordered for each key and probability.
+
+    A sketch leaves 8 / ``accuracy`` of a key's rows. Keys for which that is too many, which only large keys are, have their
+    ranges narrowed until it is not; each round leaves a hundredth. The driver sees one number a round.
+    """
+    share = 8.0 / accuracy
+    most = ranges.agg(F.max("n")).first()[0] or 0
+    if most <= 4 * accuracy or most * share <= ordered_rows:
+        return ranges
+    wide = (F.col("n") > 4 * accuracy) & (F.col("n") * share > ordered_rows)
+    narrow, left = ranges.filter(wide), most * share
+    while left > ordered_rows:
+        narrow = materialise(_narrowed(long, narrow, by, probs, accuracy))
+        left *= (2 * MARGIN + 3) / GRID
+    return ranges.filter(~wide).unionByName(narrow)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
@@ -97,15 +153,14 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     accuracy: int = 10_000,
     few_keys: bool = False,
+    ordered_rows: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per key and column.
 
-    Two passes, neither of which gathers a group. The first builds a mergeable
-    sketch and turns it into one value range per probability. The second counts:
-    values inside a range keep their identity, values between ranges collapse to
-    one row per gap. A running count over that short table hits the wanted ranks
-    exactly. If a rank fell outside its range the query would fail rather than
-    return a neighbour.
+    A first pass builds a mergeable sketch and turns it into one value range per probability; ranges that hold over
+    ``ordered_rows`` rows are narrowed by further passes. The last pass counts: values inside a range keep their identity,
+    values between ranges collapse to one row per gap. A running count over that table, whose length does not grow with the
+    data, hits the wanted ranks exactly. If a rank fell outside its range the query would fail rather than return a neighbour.
 
     ``few_keys`` says the key combinations are bounded by construction (pairs times
     collapsed levels), so their ranges are broadcast without counting them first.
@@ -116,27 +171,7 @@ def exact_quantiles(
     names = sorted(probs, key=probs.get)
     ordered = [probs[name] for name in names]
     by = [*keys, "column"]
-    long = long_form(df, columns, keys, "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-
-    ranges = _brackets(long, by, ordered, accuracy)
-    # Without keys there is one row per listed column, which is bounded by the schema.
-    side = F.broadcast(ranges) if few_keys or not keys else sized_side(ranges)
-    placed = null_safe_join(long, side, by)
-
-    value = F.col("value")
-    inside = reduce(lambda a, b: a | b, [value.between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in range(len(names))])
-    below = [F.when(F.col(f"hi_{i}") < value, F.col(f"hi_{i}")) for i in range(len(names))]
-    coded = placed.select(
-        *by, "n", "lowest", "highest",
-        (~inside).alias("gap"),
-        F.when(inside, value).otherwise(F.greatest(F.lit(float("-inf")), *below)).alias("value"),
-    )
-    counted = coded.groupBy(*by, "value", "gap").agg(
-        F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
-        F.first("lowest").alias("lowest"), F.first("highest").alias("highest"),
-    )
-    running = Window.partitionBy(*by).orderBy("value", "gap").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("rows").over(running)).withColumn("before", F.col("upto") - F.col("rows"))
+    ranked = ordered_values(df, columns, ordered, keys, accuracy, few_keys, ordered_rows)
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")) & ~F.col("gap"), F.col("value")))
@@ -159,6 +194,35 @@ def exact_quantiles(
     return found.select(*by, "n", "lowest", "highest", *results)
 
 
+def ordered_values(
+    df: DataFrame, columns: Mapping[str, Column] | Sequence[str], probs: Sequence[float], keys: Sequence[str], accuracy: int, few_keys: bool,
+    ordered_rows: int,
+) -> DataFrame:
+    """Per key, the values near the wanted ranks and one row for each gap between them, with running counts."""
+    by = [*keys, "column"]
+    long = long_form(df, columns, keys, "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    ranges = materialise(_brackets(long, by, probs, accuracy))
+    ranges = _bounded_ranges(long, ranges, by, probs, accuracy, ordered_rows)
+    # Without keys there is one row per listed column, which is bounded by the schema.
+    side = F.broadcast(ranges) if few_keys or not keys else sized_side(ranges)
+    placed = null_safe_join(long, side, by)
+
+    value, count = F.col("value"), len(probs)
+    inside = reduce(lambda a, b: a | b, [value.between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in range(count)])
+    below = [F.when(F.col(f"hi_{i}") < value, F.col(f"hi_{i}")) for i in range(count)]
+    coded = placed.select(
+        *by, "n", "lowest", "highest",
+        (~inside).alias("gap"),
+        F.when(inside, value).otherwise(F.greatest(F.lit(float("-inf")), *below)).alias("value"),
+    )
+    counted = coded.groupBy(*by, "value", "gap").agg(
+        F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
+        F.first("lowest").alias("lowest"), F.first("highest").alias("highest"),
+    )
+    running = Window.partitionBy(*by).orderBy("value", "gap").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("upto", F.sum("rows").over(running)).withColumn("before", F.col("upto") - F.col("rows"))
+
+
 def exact_medians(df: DataFrame, columns, keys: Sequence[str] = (), accuracy: int = 10_000, few_keys: bool = False) -> DataFrame:
     return exact_quantiles(df, columns, {"median": 0.5}, keys, accuracy, few_keys)
 
@@ -168,15 +232,13 @@ def running_counts(
 ) -> DataFrame:
     """Add ``below_<c>`` for each count column: the rows with a smaller value of the same key.
 
-    Keys with many distinct values are cut into ranges of about ``range_rows``
-    distinct values; the running count is taken inside each range and shifted by
-    the totals of the ranges before it. The cut points are fixed as literals
-    before the plan is built, so every task, first run or rerun, uses the same.
+    Long tables are dealt to range partitions of (key, value), about ``range_rows`` distinct values each, so one key may take
+    many partitions. They are written with their partition numbers; the running count is taken inside each (key, partition)
+    and shifted by the totals of the key's partitions before it, which are joined, not sent to the driver.
     """
     by = list(keys)
     counts = materialise(counts)
-    most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels")).agg(F.max("levels")).first()[0] or 0
-    pieces = int(most // range_rows) + 1
+    pieces = int(counts.count() // range_rows) + 1
 
     def running(over: Sequence[str]) -> dict[str, Column]:
         window = Window.partitionBy(*over).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -185,16 +247,11 @@ def running_counts(
     if pieces == 1:
         return counts.withColumns(running(by))
 
-    cuts = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(max(1000, 10 * pieces)))
-    # One row per key (a column or a pair of columns) with `pieces` numbers each.
-    fixed = counts.groupBy(*by).agg(cuts.alias("__cuts")).collect()
-    schema = counts.select(*by).schema.add("__cuts", T.ArrayType(T.DoubleType()))
-    bounds = F.broadcast(counts.sparkSession.createDataFrame([tuple(r) for r in fixed], schema))
-    ranged = counts.join(bounds, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
+    ranged = materialise(counts.repartitionByRange(pieces, *by, value).withColumn("__range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
     offsets = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
-    shifted = ranged.withColumns(running([*by, "__range"])).join(F.broadcast(offsets), [*by, "__range"])  # keys x pieces rows
+    shifted = ranged.withColumns(running([*by, "__range"])).join(offsets, [*by, "__range"])
     return shifted.withColumns({f"below_{c}": F.col(f"below_{c}") + F.col(f"__{c}") for c in columns}).drop(
         "__range", *[f"__{c}" for c in columns]
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -55,6 +56,25 @@ def test_quantiles_of_small_groups(spark, size):
         assert [found[x] for x in "abc"] == pytest.approx(np.quantile(values, [0.005, 0.5, 0.995]).tolist())
 
 
+def test_ordered_rows_do_not_grow_with_the_table(spark):
+    """Ten times the rows, as many rows to order; values as numpy gives them, also around a value that many rows share."""
+    from assayer.operators.kernels import ordered_values
+
+    probs = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    lengths = []
+    for size in (20_000, 200_000):
+        random = np.random.default_rng(size)
+        values = np.where(random.random(size) < 0.3, 5.0, random.lognormal(1.5, 1, size))
+        df = spark.createDataFrame(pd.DataFrame({"k": ["x"] * size, "v": values})).repartition(4)
+        found = exact_quantiles(df, ["v"], probs, ["k"], accuracy=1000, ordered_rows=25).first()
+        assert [found[p] for p in probs] == pytest.approx(np.quantile(values, list(probs.values())).tolist(), rel=1e-12)
+        assert found["n"] == size
+        lengths.append(ordered_values(df, ["v"], list(probs.values()), ["k"], 1000, False, 25).count())
+    assert max(lengths) <= 3 * 2 * 25 + 4, lengths
+    everything = ordered_values(df, ["v"], list(probs.values()), ["k"], 1000, False, 10**9).count()
+    assert everything > 20 * max(lengths)
+
+
 def _average_ranks(values):
     order = np.sort(values)
     return {v: (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2 for v in set(values)}
