@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions.numbers import SPACE_ENDS
 from assayer.spec import (
     DURATION_UNITS,
     MISSING_TOKENS,
@@ -137,8 +138,13 @@ def missing_state(column: Column) -> Column:
     )
 
 
+def stripped(column: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(column.cast("string"), SPACE_ENDS, "")
+
+
 def trimmed(column: Column) -> Column:
-    return F.trim(F.coalesce(column.cast("string"), F.lit("")))
+    return stripped(F.coalesce(column.cast("string"), F.lit("")))
 
 
 def non_placeholder(column: Column) -> Column:

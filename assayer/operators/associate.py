@@ -104,12 +104,17 @@ def fisher(cells: DataFrame) -> DataFrame:
     return table.withColumns({"odds_ratio": odds, "p_value": PV.p_fisher(*numbers)})
 
 
+def sparse_fisher(cells: DataFrame) -> DataFrame:
+    """Fisher's test of the 2x2 pairs that call for it: over 20 % of expected counts below five."""
+    sparse = chi_square(cells).filter("table_shape = '2x2' AND expected_below_5_pct > 20").select("pair")
+    return fisher(cells.join(F.broadcast(sparse), "pair", "left_semi"))
+
+
 def associations(df: DataFrame, pairs: Sequence[tuple[str, str]], top_n: int = 8, min_size: int = 30) -> DataFrame:
     """Chi-square per pair; Fisher where the table is 2x2 with over 20 % of expected counts below five."""
     cells = materialise(pair_cells(df, pairs, top_n, min_size))
     chi = chi_square(cells).withColumn("chi_p", PV.p_chi2("chi2", F.col("dof").cast("double")))
-    sparse = chi.filter("table_shape = '2x2' AND expected_below_5_pct > 20").select("pair")
-    exact = fisher(cells.join(F.broadcast(sparse), "pair", "left_semi")).select("pair", "odds_ratio", F.col("p_value").alias("fisher_p"))
+    exact = sparse_fisher(cells).select("pair", "odds_ratio", F.col("p_value").alias("fisher_p"))
     listed = df.sparkSession.createDataFrame([(pair_name(a, b), a, b) for a, b in pairs], "pair string, left_column string, right_column string")
     joined = listed.join(F.broadcast(chi), "pair", "left").join(F.broadcast(exact), "pair", "left")
     is_exact = F.col("fisher_p").isNotNull()

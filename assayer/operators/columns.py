@@ -97,9 +97,11 @@ def binary_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def date_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text columns by the share of their values that read as a timestamp."""
+    """Text columns by the share of their values that read as a timestamp; bare numbers are codes, not years."""
     names = list(columns or text_columns(df))
-    rows = wide_to_rows(df, {c: {"non_null_count": F.count(c), "parsed": F.count(to_timestamp(F.col(c)))} for c in names})
+    rows = wide_to_rows(df, {
+        c: {"non_null_count": F.count(c), "parsed": F.count(F.when(F.col(c).rlike("[0-9][-/:][0-9]"), to_timestamp(F.col(c))))} for c in names
+    })
     share = F.when(F.col("non_null_count") > 0, F.col("parsed") / F.col("non_null_count")).otherwise(0.0)
     return rows.select("column", "non_null_count", "parsed", pct(share, F.lit(1)).alias("parsed_pct"), (share >= DATE_CANDIDATE_SHARE).alias("is_candidate"))
 

@@ -20,13 +20,13 @@ from assayer.functions import pvalues as PV
 from assayer.functions.numbers import finite
 from assayer.functions.text import normalize_text
 from assayer.operators.kernels import exact_medians, running_counts
-from assayer.operators.lookups import SAMPLE_SLICES, holm
-from assayer.operators.profile import _top
+from assayer.operators.lookups import holm
+from assayer.operators.profile import _top, present
 from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 OTHER = "Other"
-NORMALITY_SAMPLE = 5000
+SHAPIRO_MOST = 5000  # values for which the published approximation holds
 MAX_POSTHOC_GROUPS = 6
 
 Pairs = Sequence[tuple[str, str]]
@@ -41,7 +41,12 @@ def group_label(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.col(column).cast("int").cast("string")
     if isinstance(kind, T.NumericType):
-        return F.col(column).cast("bigint").cast("string")
+        number = F.col(column)
+        whole = number.cast("bigint").cast("string")
+        if isinstance(kind, T.IntegralType):
+            return whole
+        number = present(df, column)
+        return F.when(number == F.floor(number), whole).otherwise(number.cast("string"))
     return normalize_text(F.col(column))
 
 
@@ -186,6 +191,10 @@ def ordered_counts(frame: DataFrame, max_levels: int, range_rows: int | None = N
     legend = frame.groupBy("pair", "level").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "position", F.row_number().over(Window.partitionBy("pair").orderBy("level")) - 1
     )
+    legend = materialise(legend)
+    found = (legend.agg(F.max("position")).first()[0] or 0) + 1
+    if found > max_levels:
+        raise ValueError(f"the frame has {found} levels in a pair, {max_levels} are provided for")
     placed = frame.join(F.broadcast(legend.select("pair", "level", "position")), ["pair", "level"])
     names = [f"c{i}" for i in range(max_levels)]
     wide = placed.groupBy("pair", "value").agg(*[F.count_if(F.col("position") == i).alias(c) for i, c in enumerate(names)])
@@ -220,12 +229,17 @@ def kruskal(frame: DataFrame, top_n: int = 8, range_rows: int | None = None) ->
     ).withColumn("epsilon_squared", F.when(F.col("n_used") > F.col("n_groups"), (F.col("h") - F.col("n_groups") + 1) / (F.col("n_used") - F.col("n_groups"))))
 
 
+def too_many_levels(frame: DataFrame, max_levels: int = MAX_POSTHOC_GROUPS) -> DataFrame:
+    """(pair, n_groups) that a pairwise comparison of at most ``max_levels`` levels leaves out."""
+    return frame.groupBy("pair").agg(F.count_distinct("level").alias("n_groups")).filter(F.col("n_groups") > max_levels)
+
+
 def mann_whitney(frame: DataFrame, max_levels: int = 2, range_rows: int | None = None) -> DataFrame:
     """U, tie-corrected z with continuity, and rank-biserial r for every two levels of each pair.
 
     U counts, for each value, the members of the second level below it. Running
     counts per level give every combination in one pass; no ranks are assigned per combination.
-    Pairs with more than ``max_levels`` levels are left out.
+    Only pairs of at most ``max_levels`` levels are compared; ``too_many_levels`` lists the others.
     """
     sizes = frame.groupBy("pair").agg(F.count_distinct("level").alias("k")).filter(F.col("k") <= max_levels)
     ordered, legend = ordered_counts(frame.join(F.broadcast(sizes.select("pair")), "pair", "left_semi"), max_levels, range_rows)
@@ -257,37 +271,53 @@ def mann_whitney(frame: DataFrame, max_levels: int = 2, range_rows: int | None =
 # -- normality, choice and dispatch -----------------------------------------
 
 
-def bounded_sample(frame: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` rows of each (pair, level), those with the smallest mark.
+def normality(frame: DataFrame) -> DataFrame:
+    """D'Agostino-Pearson test of every (pair, level) over all of its rows: n, k2, p_value.
 
-    Chosen inside hash slices first, so that only ``SAMPLE_SLICES * size`` rows of a
-    level are ever ranked together.
+    Skewness and kurtosis are turned into normal scores, whose squares have a chi-square with two degrees of freedom and so a
+    closed tail. Levels of under 8 rows or without spread get nulls.
     """
-    sliced = frame.withColumn("__slice", F.pmod("mark", F.lit(SAMPLE_SLICES)))
-    in_slice = F.row_number().over(Window.partitionBy("pair", "level", "__slice").orderBy("mark"))
-    short = sliced.withColumn("__r", in_slice).filter(F.col("__r") <= size)
-    in_level = F.row_number().over(Window.partitionBy("pair", "level").orderBy("mark"))
-    return short.withColumn("__r", in_level).filter(F.col("__r") <= size).drop("__r", "__slice")
-
-
-def shapiro(frame: DataFrame, sample: int = NORMALITY_SAMPLE) -> DataFrame:
-    """Shapiro-Wilk per (pair, level) on a reproducible sample of at most ``sample`` values.
-
-    The sample bound is what lets one Python call hold a group. The frame must
-    carry row marks (``group_frame(..., marked=True)``).
+    stats = frame.groupBy("pair", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.skewness("value").alias("g1"), (F.kurtosis("value") + 3).alias("b2"), F.var_pop("value").alias("spread")
+    )
+    n = F.col("n").cast("double")
+    y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w = F.sqrt(2 * (beta - 1)) - 1
+    scaled = y / F.sqrt(F.lit(2.0) / (w - 1))
+    skew_score = F.lit(1.0) / F.sqrt(0.5 * F.log(w)) * F.asinh(scaled)
+    x = (F.col("b2") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    under = 1 + x * F.sqrt(F.lit(2.0) / (a - 4))
+    kurtosis_score = (1 - F.lit(2.0) / (9 * a) - F.signum(under) * F.cbrt((1 - F.lit(2.0) / a) / F.abs(under))) / F.sqrt(F.lit(2.0) / (9 * a))
+    tested = (F.col("n") >= 8) & (F.col("spread") > 0)
+    k2 = F.when(tested, skew_score * skew_score + kurtosis_score * kurtosis_score)
+    return stats.select("pair", "level", "n", k2.alias("k2"), F.exp(-k2 / 2).alias("p_value"))
+
+
+def shapiro(frame: DataFrame) -> DataFrame:
+    """Shapiro-Wilk per (pair, level), over all rows of each level of 3 to SHAPIRO_MOST rows.
+
+    The test is not defined beyond; larger levels have a row with their size and nulls, ``normality`` covers them.
     """
+    sizes = frame.groupBy("pair", "level").agg(F.count(F.lit(1)).alias("n"))
+    fits = F.col("n").between(3, SHAPIRO_MOST)
 
-    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = PV.shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame({"pair": [key[0]], "level": [key[1]], "n_tested": [len(pdf)], "w": [w], "p_value": [p]})
+        return pd.DataFrame({"pair": [key[0]], "level": [key[1]], "n": [len(pdf)], "w": [w], "p_value": [p]})
 
-    columns = "pair string, level string, n_tested long, w double, p_value double"
-    return bounded_sample(frame, sample).groupBy("pair", "level").applyInPandas(test, columns)
+    columns = "pair string, level string, n long, w double, p_value double"
+    held = frame.join(F.broadcast(sizes.filter(fits).select("pair", "level")), ["pair", "level"], "left_semi")
+    missing = F.lit(None).cast("double")
+    beyond = sizes.filter(~fits).select("pair", "level", "n", missing.alias("w"), missing.alias("p_value"))
+    return held.groupBy("pair", "level").applyInPandas(test, columns).unionByName(beyond)
 
 
-def assumptions(frame: DataFrame, sample: int = NORMALITY_SAMPLE) -> DataFrame:
-    """Normality and equal spread per pair, and whether a parametric test is advised."""
-    normal = shapiro(frame, sample).filter("n_tested >= 3").groupBy("pair").agg(
+def assumptions(frame: DataFrame) -> DataFrame:
+    """Normality (all rows) and equal spread per pair, and whether a parametric test is advised."""
+    normal = normality(frame).groupBy("pair").agg(
         F.min("p_value").alias("normality_p_min"), F.every(F.col("p_value") >= 0.05).alias("all_groups_normal")
     )
     spread = levene(frame).withColumn("homoscedasticity_p", PV.p_f("w", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
@@ -336,11 +366,14 @@ def compare(frame: DataFrame, assumed: DataFrame, top_n: int = 8) -> DataFrame:
     )
 
 
-def posthoc(frame: DataFrame, parametric: DataFrame | None = None) -> DataFrame:
+def posthoc(frame: DataFrame, parametric: DataFrame | None = None, compared: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
     """Every two groups of pairs with 3 to 6 groups, Holm-adjusted inside the pair.
 
-    ``parametric`` lists (pair, parametric_recommended); without it the rank test is used.
+    ``parametric`` lists (pair, parametric_recommended); without it the rank test is used. ``compared`` lists (pair, p_value) of
+    the overall tests: only pairs with a difference at ``alpha`` are followed up.
     """
+    if compared is not None:
+        frame = frame.join(F.broadcast(compared.filter(F.col("p_value") < alpha).select("pair")), "pair", "left_semi")
     rank = mann_whitney(frame, MAX_POSTHOC_GROUPS)
     sizes = rank.groupBy("pair").agg(F.count(F.lit(1)).alias("tests")).filter("tests >= 3").select("pair")
     u = rank.join(F.broadcast(sizes), "pair", "left_semi").withColumn("p", F.least(F.lit(1.0), PV.p_normal("z")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import pvalues as PV
+from assayer.functions.numbers import finite
 from assayer.operators.columns import column_groups
 from assayer.operators.kernels import frequencies
 from assayer.operators.profile import _top, cardinality, null_profile, wide_to_rows
@@ -19,7 +20,7 @@ Z95 = PV.normal_quantile(0.975)
 def mean_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """n, mean and standard error per column, in one aggregate."""
     rows = wide_to_rows(df, {
-        c: {"n_used": F.count(c), "estimate": F.avg(F.col(c).cast("double")), "sd": F.stddev_samp(F.col(c).cast("double"))} for c in columns
+        c: {"n_used": F.count(finite(F.col(c))), "estimate": F.avg(finite(F.col(c))), "sd": F.stddev_samp(finite(F.col(c)))} for c in columns
     })
     error = F.when(F.col("n_used") > 1, F.col("sd") / F.sqrt(F.col("n_used")))
     return rows.filter("n_used > 0").select("column", "n_used", "estimate", error.alias("standard_error"))

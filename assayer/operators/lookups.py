@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators.kernels import null_safe_join, sized_side, value_ranks
 from assayer.operators.profile import _top
-
-SAMPLE_SLICES = 64
+from assayer.session import materialise
 
 
 def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -79,33 +78,56 @@ def average_ranks(df: DataFrame, value: str, range_rows: int | None = None) -> D
     return ranks.select("value", "n", "avg_rank")
 
 
-def first_per_group(df: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
-    """First row of each group, then the first ``limit`` groups. Meant for result tables."""
+def first_per_group(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    """First row of each group with the group's place. Meant for result tables."""
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.filter("__r = 1").drop("__r").orderBy(group).limit(limit)
+    return ranked.filter("__r = 1").drop("__r").withColumn("rank", F.row_number().over(Window.orderBy(group)))
+
+
+MARK_DIGITS = 15
+MARK_END = 16.0**MARK_DIGITS
+
+
+def row_mark(identity: Sequence[str], seed: int) -> Column:
+    """A number spread evenly over [0, MARK_END): the head of an MD5, which any engine can repeat."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, MARK_DIGITS), 16, 10).cast("long")
+
+
+def smallest_marks(rows: DataFrame, by: Sequence[str], quotas: DataFrame, mark: str, order: Sequence[str]) -> DataFrame:
+    """The ``__quota`` rows of each group with the smallest marks; ``quotas`` has by, ``__n`` (rows) and ``__quota``.
+
+    Marks are even, so rows beyond a cut somewhat above quota / n are dropped before anything is shuffled; a few more than the
+    quota are ranked. A group that comes up short, which is very unlikely, widens the cut and the choice is made again.
+    """
+    quotas = materialise(quotas)
+    placed = null_safe_join(rows, sized_side(quotas), by)
+    slack = 6.0
+    while True:
+        cut = (F.col("__quota") + slack * F.sqrt(F.col("__quota")) + slack * slack) / F.col("__n") * MARK_END
+        near = materialise(placed.filter(F.col(mark) <= cut))
+        got = near.groupBy(*by).agg(F.count(F.lit(1)).alias("__got"))
+        short = null_safe_join(quotas, got, by, "left").filter(F.coalesce("__got", F.lit(0)) < F.least("__quota", "__n"))
+        if not short.limit(1).count():
+            break
+        slack *= 4
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(mark, *order)))
+    return ranked.filter(F.col("__r") <= F.col("__quota")).drop("__r", "__n", "__quota")
 
 
 def sample_rows(
     df: DataFrame, max_rows: int, identity: Sequence[str], stratify_by: str | None = None, seed: int = 42
 ) -> DataFrame:
-    """Reproducible sample: rows with the smallest hash, proportional per stratum (at least one each).
+    """Reproducible sample: rows with the smallest mark, proportional per stratum (at least one each).
 
-    The hash is taken over ``identity`` and the seed, so partitioning does not
-    matter. Each stratum is first cut in hash slices that select on their own;
-    only the slices' selections, bounded by the sample size, are ranked together.
+    Marks are hashes of ``identity`` and the seed, so partitioning does not matter.
     """
-    mark = F.xxhash64(*identity, F.lit(seed))
     stratum = F.col(stratify_by) if stratify_by else F.lit(0)
-    rows = df.withColumns({"__s": stratum, "__h": mark, "__slice": F.pmod(F.xxhash64(*identity, F.lit(seed + 1)), F.lit(SAMPLE_SLICES))})
+    rows = df.withColumns({"__s": stratum, "__h": row_mark(identity, seed)})
     sizes = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     share = F.greatest(F.lit(1), F.bround(F.lit(float(max_rows)) * F.col("__n") / F.col("__total"), 0).cast("long"))
     quotas = sizes.withColumn("__total", total).select(
-        "__s", F.when(F.col("__total") <= max_rows, F.col("__n")).otherwise(share).alias("__quota")
+        "__s", "__n", F.when(F.col("__total") <= max_rows, F.col("__n")).otherwise(share).alias("__quota")
     )
-    placed = null_safe_join(rows, sized_side(quotas), ["__s"])
-    order = ["__h", *identity]
-    in_slice = F.row_number().over(Window.partitionBy("__s", "__slice").orderBy(*order))
-    short = placed.withColumn("__r", in_slice).filter(F.col("__r") <= F.col("__quota"))
-    in_stratum = F.row_number().over(Window.partitionBy("__s").orderBy(*order))
-    return short.withColumn("__r", in_stratum).filter(F.col("__r") <= F.col("__quota")).select(*df.columns)
+    return smallest_marks(rows, ["__s"], quotas, "__h", identity).select(*df.columns)

@@ -6,22 +6,25 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import pvalues as PV
 from assayer.functions.numbers import finite
 from assayer.functions.text import normalize_text
 from assayer.operators.groups import OTHER
-from assayer.operators.kernels import frequencies
+from assayer.operators.kernels import exact_quantiles, frequencies
 from assayer.operators.lookups import sample_rows
 from assayer.operators.profile import _top
 from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 MIN_SPARE_ROWS = 10
+SINGULAR = 1e-10  # of a column's variation that the columns before it leave
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,7 @@ def _limited(design: Design, max_rows: int | None, stratify: bool) -> DataFrame:
 
 _COEFFICIENTS = "term string, coefficient double, standard_error double, test_statistic double, p_value double, ci_lower double, ci_upper double"
 _LINEAR = ("model_name string, target_column string, n_used long, n_terms long, r2 double, adj_r2 double, rmse double, mae double, "
-           "aic double, bic double, large_sample_warning boolean, status string, skip_reason string")
+           "aic double, bic double, large_sample_warning boolean, status string, skip_reason string, dropped_terms string")
 _LOGISTIC = ("model_name string, target_column string, n_used long, n_terms long, accuracy double, brier double, aic double, "
              "large_sample_warning boolean, status string, skip_reason string")
 
@@ -107,21 +110,60 @@ def gaussian_criteria(n: int, rmse: float, k: int) -> tuple[float, float]:
     return deviance + 2 * k, deviance + k * math.log(n)
 
 
-def fit_linear(design: Design, max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Least squares by the normal equations: one pass. Returns coefficients, diagnostics and (fitted, residual) rows."""
+def dependent_terms(data: DataFrame, terms: Sequence[str]) -> list[str]:
+    """Terms that are linear combinations of the constant and the terms before them.
+
+    Two passes over ``data`` (label, features): means, then centred products. The k x k matrix is swept on the driver.
+    """
+    k = len(terms)
+    values = data.select(vector_to_array("features").alias("x"))
+    means = values.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)]).first()
+    centred = values.select(*[(F.col("x")[i] - F.lit(means[i])).alias(f"c{i}") for i in range(k)])
+    sums = centred.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    gram = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
+    kept, dropped = [], []
+    for j in range(k):
+        rest = gram[j, j]
+        if kept:
+            inside = gram[np.ix_(kept, kept)]
+            scale = np.sqrt(np.diag(inside))
+            rest -= gram[j, kept] / scale @ np.linalg.solve(inside / np.outer(scale, scale), gram[j, kept] / scale)
+        if rest <= SINGULAR * gram[j, j]:
+            dropped.append(terms[j])
+        else:
+            kept.append(j)
+    return dropped
+
+
+def fit_linear(design: Design) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Least squares by the normal equations over all rows. Returns coefficients, diagnostics and (fitted, residual) rows.
+
+    Terms that others determine are dropped and named in the diagnostics. A perfect fit has no standard errors to divide by:
+    its test statistics and criteria are null.
+    """
     spark = design.frame.sparkSession
-    terms = ("const", *design.terms)
 
     def skipped(n: int, reason: str):
-        row = ("linear_regression", design.target, n, len(terms), *[None] * 6, False, "skipped", reason)
+        row = ("linear_regression", design.target, n, 1 + len(design.terms), *[None] * 6, False, "skipped", reason, None)
         return spark.createDataFrame([], _COEFFICIENTS), spark.createDataFrame([row], _LINEAR), None
 
     if design.skip_reason:
         return skipped(0, design.skip_reason)
-    data = _vectors(design, _limited(design, max_rows, False))
+    data = materialise(_vectors(design, design.frame))
     n = data.count()
-    if n <= len(terms) + MIN_SPARE_ROWS:
+    if n <= 1 + len(design.terms) + MIN_SPARE_ROWS:
         return skipped(n, "insufficient_rows_for_model")
+    dropped = dependent_terms(data, design.terms)
+    if dropped:
+        kept = [t for t in design.terms if t not in dropped]
+        if not kept:
+            return skipped(n, "singular_design")
+        design = Design(design.frame.select(design.target, *kept), design.target, tuple(kept))
+        data = materialise(_vectors(design, design.frame))
+    terms = ("const", *design.terms)
     model = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(data)
     summary = model.summary
     free = n - len(terms)
@@ -131,21 +173,25 @@ def fit_linear(design: Design, max_rows: int | None = None) -> tuple[DataFrame,
     errors = [errors[-1], *errors[:-1]]
     rows = []
     for term, estimate, error in zip(terms, map(float, estimates), map(float, errors), strict=True):
-        t = estimate / error
-        rows.append((term, estimate, error, t, PV.t_two_sided(t, free), estimate - critical * error, estimate + critical * error))
+        t = estimate / error if error > 0 else None
+        p = PV.t_two_sided(t, free) if t is not None else None
+        rows.append((term, estimate, error, t, p, estimate - critical * error, estimate + critical * error))
     rmse = float(summary.rootMeanSquaredError)
-    aic, bic = gaussian_criteria(n, rmse, len(terms))
+    aic, bic = gaussian_criteria(n, rmse, len(terms)) if rmse > 0 else (None, None)
     r2 = float(summary.r2)
     diagnostics = (
         "linear_regression", design.target, n, len(terms), r2, 1 - (1 - r2) * (n - 1) / free, rmse, float(summary.meanAbsoluteError),
-        aic, bic, n >= LARGE_SAMPLE, "ok", None,
+        aic, bic, n >= LARGE_SAMPLE, "ok", None, ", ".join(dropped) or None,
     )
     fitted = model.transform(data).select(F.col("prediction").alias("fitted"), (F.col("label") - F.col("prediction")).alias("residual"))
     return spark.createDataFrame(rows, _COEFFICIENTS), spark.createDataFrame([diagnostics], _LINEAR), fitted
 
 
 def fit_logistic(design: Design, max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Binomial GLM. Returns coefficients with odds ratios, diagnostics, and (probability, observed) rows."""
+    """Binomial GLM. Returns coefficients with odds ratios, diagnostics, and (probability, observed) rows.
+
+    ``max_rows``: bound of a reproducible sample, proportional by class, that the classifier is fitted on; by default all rows.
+    """
     spark = design.frame.sparkSession
     terms = ("const", *design.terms)
     columns = _COEFFICIENTS + ", odds_ratio double, odds_ratio_ci_lower double, odds_ratio_ci_upper double"
@@ -190,10 +236,21 @@ def _exp(x: float) -> float:
     return math.exp(x) if x < 700 else math.inf
 
 
-def residual_points(fitted: DataFrame, sample: int = 2000) -> DataFrame:
-    """Residual against fitted value, and the normal quantile of its rank, on a bounded sample."""
-    points = sample_rows(fitted, sample, ["fitted", "residual"])
-    size = points.agg(F.count(F.lit(1))).scalar()
-    ranked = points.withColumn("rank", F.row_number().over(Window.orderBy("residual", "fitted")))  # `sample` rows
-    place = (F.col("rank") - 0.375) / (size + 0.25)
-    return ranked.select("fitted", "residual", PV.q_normal(place).alias("normal_quantile"))
+def residual_bins(fitted: DataFrame, bins: int = 41) -> DataFrame:
+    """Rows per cell of fitted value and residual, both cut in ``bins`` equal parts of their range: the residual plot of all rows."""
+    ends = fitted.agg(*[f(c).alias(f"{c}_{n}") for c in ("fitted", "residual") for n, f in (("low", F.min), ("high", F.max))])
+    placed = fitted.join(F.broadcast(ends))  # one row
+
+    def part(name: str) -> Column:
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        return F.when(high > low, F.least(F.lit(bins), F.floor((F.col(name) - low) / (high - low) * bins) + 1)).otherwise(F.lit(1)).cast("long")
+
+    return placed.groupBy(part("fitted").alias("fitted_bin"), part("residual").alias("residual_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def residual_quantiles(fitted: DataFrame, steps: int = 20) -> DataFrame:
+    """Exact quantiles of the residuals of all rows beside those of the normal distribution."""
+    probs = {f"q{i}": i / steps for i in range(1, steps)}
+    found = exact_quantiles(fitted, ["residual"], probs)
+    rows = F.array(*[F.struct(F.lit(p).alias("probability"), F.col(q).alias("residual"), F.lit(PV.normal_quantile(p)).alias("normal_quantile")) for q, p in probs.items()])
+    return found.select(F.inline(rows))

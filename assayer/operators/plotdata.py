@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.numbers import finite
 from assayer.operators.kernels import exact_quantiles, null_safe_join, sized_side
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins between the minimum and maximum; the maximum falls in the last bin."""
+    df = df.select(finite(F.col(value)).alias(value))
     ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
     raw = F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
@@ -24,7 +26,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def boxplot(df: DataFrame, value: str, group: str | None = None, overall: str = "all") -> DataFrame:
     """Quartiles, whiskers and outlier counts over everything and per category."""
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.withColumn(value, finite(F.col(value))).filter(F.col(value).isNotNull())
     name = group or "group"
     labels: list[Column] = [F.lit(overall)] + ([F.col(group)] if group else [])
     spread = rows.select(F.explode(F.array_compact(F.array(*labels))).alias(name), F.col(value).cast("double").alias("v"))
@@ -39,10 +41,10 @@ def boxplot(df: DataFrame, value: str, group: str | None = None, overall: str =
     )
 
 
-def ci_bars(intervals: DataFrame, keys: tuple[str, ...] = ("column",), limit: int = 12) -> DataFrame:
-    """Estimate with its distances to the bounds, floored at zero; first rows only, as the chart shows them."""
-    return intervals.orderBy("estimate", *keys).limit(limit).select(
-        *keys, "estimate",
+def ci_bars(intervals: DataFrame, keys: tuple[str, ...] = ("column",)) -> DataFrame:
+    """Estimate with its distances to the bounds, floored at zero, and its place in the chart (a row for each interval)."""
+    return intervals.withColumn("rank", F.row_number().over(Window.orderBy("estimate", *keys))).select(
+        "rank", *keys, "estimate",
         F.greatest(F.lit(0.0), F.col("estimate") - F.col("ci_lower")).alias("distance_below"),
         F.greatest(F.lit(0.0), F.col("ci_upper") - F.col("estimate")).alias("distance_above"),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from assayer.functions import text as X
 from assayer.functions.numbers import finite
 from assayer.operators.kernels import exact_medians, exact_quantiles, frequencies, long_form, null_safe_join, sized_side
+from assayer.session import materialise
 from assayer.spec import NEAR_CONSTANT_PCT, PLACEHOLDER_TOKENS, RARE_SHARE, SHORT_TEXT
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -49,10 +50,15 @@ def wide_to_rows(df: DataFrame, measures: Mapping[str, Mapping[str, Column]], sh
     return wide.select(*shared, F.inline(rows))
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null, since both are the same absence."""
+    return F.nanvl(F.col(name), F.lit(None)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else F.col(name)
+
+
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, rows, non_null: the base of every null profile."""
     names = list(columns or df.columns)
-    return wide_to_rows(df, {c: {"non_null": F.count(c)} for c in names}, {"rows": F.count(F.lit(1))})
+    return wide_to_rows(df, {c: {"non_null": F.count(present(df, c))} for c in names}, {"rows": F.count(F.lit(1))})
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -91,7 +97,7 @@ def placeholder_counts(df: DataFrame) -> DataFrame:
 def expanded_nulls(df: DataFrame) -> DataFrame:
     """Null share counting placeholder texts as null."""
     texts = set(text_columns(df))
-    flags = normalised(df.withColumns({f"n|{c}": F.col(c).isNull() for c in df.columns})).select(
+    flags = normalised(df.withColumns({f"n|{c}": present(df, c).isNull() for c in df.columns})).select(
         *[f"n|{c}" for c in df.columns], *[(F.col(f"n|{c}") | is_placeholder(F.col(c)) if c in texts else F.col(f"n|{c}")).alias(f"e|{c}") for c in df.columns]
     )
     measures = {c: {"nulls": F.count_if(F.col(f"n|{c}")), "expanded": F.count_if(F.col(f"e|{c}"))} for c in df.columns}
@@ -199,7 +205,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], preview: int = 5)
 def numeric_profile(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Moments, quantiles, fences, outliers, zeros and distinct values per numeric column."""
     named = columns if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
-    numbers = df.select(*[finite(c).alias(n) for n, c in named.items()])
+    numbers = materialise(df.select(*[finite(c).alias(n) for n, c in named.items()]))  # read by four reductions
     names = list(named)
     quantiles = exact_quantiles(numbers, names, QUANTILES, accuracy=accuracy)
     fenced = quantiles.withColumn("iqr", F.col("p75") - F.col("p25")).withColumns({
@@ -268,7 +274,7 @@ def text_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Blank and short shares and length statistics; a null text has length 0."""
     lengths = df.select(*[F.length(F.coalesce(F.col(c), F.lit(""))).cast("double").alias(f"__len_{c}") for c in columns],
                         *[F.col(c).isNotNull().alias(f"__has_{c}") for c in columns],
-                        *[(F.trim(F.coalesce(F.col(c), F.lit(""))) == "").alias(f"__blank_{c}") for c in columns])
+                        *[(X.trimmed(F.col(c)) == "").alias(f"__blank_{c}") for c in columns])
     counts = wide_to_rows(lengths, {
         c: {"non_null_count": F.count_if(F.col(f"__has_{c}")), "blank": F.count_if(F.col(f"__blank_{c}")),
             "short": F.count_if(F.col(f"__len_{c}") < SHORT_TEXT), "mean_length": F.avg(f"__len_{c}"),
@@ -292,6 +298,7 @@ def temporal_summary(df: DataFrame, dates: Sequence[str], metrics: Sequence[str]
                     "mean": F.lit(None).cast("double")} for c in dates}
     measures |= {c: {"kind": F.lit("days"), "non_null_count": F.count(c), "min": F.min(c).cast("string"),
                      "max": F.max(c).cast("string"), "mean": F.avg(c)} for c in metrics}
+    df = df.select(*dates, *[present(df, c).alias(c) for c in metrics])
     rows = wide_to_rows(df, measures, {"rows": F.count(F.lit(1))})
     medians = exact_medians(df, list(metrics)).select("column", "median")
     return rows.join(F.broadcast(medians), "column", "left").select(
@@ -301,7 +308,8 @@ def temporal_summary(df: DataFrame, dates: Sequence[str], metrics: Sequence[str]
 
 def score_profile(df: DataFrame, scores: Sequence[str], labels: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Scores with numeric statistics, labels with their top share, flags with their positive rate."""
-    empty = F.lit(None)
+    kept = [finite(F.col(c)).alias(c) if c in scores else F.col(c) for c in dict.fromkeys((*scores, *labels, *flags))]
+    df = materialise(df.select(*kept))  # read by four reductions
     rows = F.count(F.lit(1))
     base = wide_to_rows(df, {
         c: {"non_null_count": F.count(c), "mean": F.avg(F.col(c).cast("double")) if c in scores else F.lit(None).cast("double"),
@@ -344,7 +352,7 @@ def overview(df: DataFrame, identifiers: Sequence[str], groups: Mapping[str, int
 
 def numeric_by_group(df: DataFrame, value: str, group: str, keep_null_group: bool = False) -> DataFrame:
     """count, mean, std, median, min, max of a number per category."""
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.select(group, finite(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
     if not keep_null_group:
         rows = rows.filter(F.col(group).isNotNull())
     stats = rows.groupBy(group).agg(
@@ -383,11 +391,10 @@ def crosstab_long(df: DataFrame, index: str, column: str, top_index: int | None
 
 
 def crosstab(df: DataFrame, index: str, column: str, levels: Sequence[str], top_index: int | None = None) -> DataFrame:
-    """Cross-tab with one column per given level, zero-filled. The pivot runs on the cells, not on rows."""
+    """Cross-tab with one column per given level and ``other`` for the rest, zero-filled. The pivot runs on the cells, not on rows."""
     cells = crosstab_long(df, index, column, top_index)
-    return cells.groupBy(index).agg(*[
-        F.sum(F.when(F.col(column) == level, F.col("n")).otherwise(0)).alias(level) for level in levels
-    ])
+    counted = [F.sum(F.when(F.col(column) == level, F.col("n")).otherwise(0)).alias(level) for level in levels]
+    return cells.groupBy(index).agg(*counted, F.sum(F.when(F.col(column).isin(*levels), 0).otherwise(F.col("n"))).alias("other"))
 
 
 def entity_rollup(df: DataFrame, keys: Sequence[str], id_column: str, completeness: str, indicators: Sequence[str]) -> DataFrame:

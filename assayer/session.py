@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime settings. Partition counts are left to AQE, which starts from
 # spark.sql.shuffle.partitions and merges or splits from there.
 RUNTIME_CONF = {
+    # Small files are opened by more tasks; of no effect once a task's share is larger than this.
+    "spark.sql.files.openCostInBytes": str(1 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

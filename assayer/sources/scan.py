@@ -12,9 +12,6 @@ from assayer.functions.numbers import finite, to_number, to_timestamp
 from assayer.session import configure
 
 
-SPREAD_BYTES = 1 << 20
-
-
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of a table on storage."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,19 +20,9 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def load(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet scan; a column list is pushed down as the read schema.
-
-    A table in fewer splits than the cluster has cores (one file, one row group)
-    would run every row-wise plan on a few tasks, so it is dealt out once. Tables
-    with enough splits, which is any large one, are read as they are; filters
-    and column selections move below the exchange.
-    """
+    """Parquet scan; a column list is pushed down as the read schema. Splits follow ``spark.sql.files.*`` alone."""
     df = configure(spark).read.parquet(path)
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores and stored_bytes(spark, path) >= SPREAD_BYTES:
-        return df.repartition(cores)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def date_window(years: int, today: dt.date | None = None) -> tuple[Column, Column]:

@@ -216,14 +216,14 @@ def _(spark, sf):
 
 
 @query("first_per_group", with_p("""
-SELECT segment, category, successes FROM (
+SELECT segment, category, successes, row_number() OVER (ORDER BY segment) AS rank FROM (
   SELECT segment, mode AS category, count(*) AS successes, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, mode) AS r
-  FROM P WHERE segment IS NOT NULL GROUP BY 1, 2) WHERE r = 1 ORDER BY segment LIMIT 12"""))
+  FROM P WHERE segment IS NOT NULL GROUP BY 1, 2) WHERE r = 1"""))
 def _(spark, sf):
     counts = processes(spark, sf, "segment", "mode").filter(F.col("segment").isNotNull()).groupBy(
         "segment", F.col("mode").alias("category")
     ).agg(F.count(F.lit(1)).alias("successes"))
-    return L.first_per_group(counts, "segment", [F.desc("successes"), F.col("category")], 12)
+    return L.first_per_group(counts, "segment", [F.desc("successes"), F.col("category")])
 
 
 @query("avg_rank", with_p("""
@@ -233,12 +233,18 @@ def _(spark, sf):
     return L.average_ranks(processes(spark, sf, "base_price"), "base_price")
 
 
-@query("stratified_sample")
+_MARK = "CAST(concat('0x', substr(md5(concat_ws('|', CAST(proc_key AS VARCHAR), '42')), 1, 15)) AS BIGINT)"
+
+
+@query("stratified_sample", with_p(f"""
+SELECT proc_key, mode, base_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode ORDER BY {_MARK}, proc_key) AS r, count(*) OVER (PARTITION BY mode) AS n, count(*) OVER () AS total FROM P)
+WHERE r <= CASE WHEN total <= 1000 THEN n ELSE greatest(1, CAST(round_even(CAST(1000 AS DOUBLE) * n / total, 0) AS BIGINT)) END"""), "base_price")
 def _(spark, sf):
     rows = processes(spark, sf, "proc_key", "mode", "base_price")
     return L.sample_rows(rows, 1000, ["proc_key"], "mode")
 
 
-@query("plain_sample")
+@query("plain_sample", with_p(f"SELECT proc_key, base_price FROM (SELECT *, row_number() OVER (ORDER BY {_MARK}, proc_key) AS r FROM P) WHERE r <= 500"), "base_price")
 def _(spark, sf):
     return L.sample_rows(processes(spark, sf, "proc_key", "base_price"), 500, ["proc_key"])

@@ -122,8 +122,8 @@ def _(spark, sf):
     return _wilson(spark, sf)
 
 
-@query("ci_plot_data", with_p("""SELECT "column", category, estimate, greatest(0.0, estimate - ci_lower) AS distance_below, greatest(0.0, ci_upper - estimate) AS distance_above
-FROM WI ORDER BY estimate, "column", category LIMIT 12""", FLAGS_CTE, _wilson_sql()), "estimate distance_below distance_above")
+@query("ci_plot_data", with_p("""SELECT row_number() OVER (ORDER BY estimate, "column", category) AS rank, "column", category, estimate, greatest(0.0, estimate - ci_lower) AS distance_below, greatest(0.0, ci_upper - estimate) AS distance_above
+FROM WI""", FLAGS_CTE, _wilson_sql()), "estimate distance_below distance_above")
 def _(spark, sf):
     return plotdata.ci_bars(_wilson(spark, sf), ("column", "category"))
 
@@ -136,9 +136,20 @@ def _(spark, sf):
     return frame(spark, sf, PAIRS, reused=False).groupBy("pair", "level", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("group_eligibility")
+_RARE = [*PAIRS, ("base_price", "tags")]
+_LISTED = ", ".join(f"('{o}|{g}', '{o}', '{g}')" for o, g in _RARE)
+
+
+@query("group_eligibility", with_p(f"""
+SELECT l.pair, outcome_column, group_column, coalesce(n_used, 0) AS n_used, coalesce(n_groups, 0) AS n_groups,
+  CASE WHEN n_complete IS NULL OR n_groups IS NULL THEN 'skipped' ELSE 'ok' END AS status,
+  CASE WHEN n_complete IS NULL THEN 'no_complete_cases' WHEN n_groups IS NULL THEN 'insufficient_valid_groups' END AS skip_reason
+FROM (VALUES {_LISTED}) l(pair, outcome_column, group_column)
+LEFT JOIN (SELECT pair, count(*) AS n_complete FROM F0 GROUP BY pair) c ON l.pair = c.pair
+LEFT JOIN (SELECT pair, CAST(sum(n) AS BIGINT) AS n_used, count(*) AS n_groups FROM (SELECT pair, level, count(*) AS n FROM FR GROUP BY pair, level)
+  GROUP BY pair HAVING count(*) >= 2) u ON l.pair = u.pair""", FLAGS_CTE, frame_sql(_RARE)))
 def _(spark, sf):
-    rare = [*PAIRS, ("base_price", "tags")]
+    rare = _RARE
     return G.skip_reasons(flagged(spark, sf, "base_price", "n_lines", "duration", "mode", "nation", "segment", "state"), rare)
 
 
@@ -214,19 +225,35 @@ def _(spark, sf):
     return G.kruskal(frame(spark, sf, PAIRS))
 
 
+_K2 = """KS AS (SELECT pair, level, CAST(count(*) AS DOUBLE) AS n, count(*) AS c, var_pop(value) AS spread, kurtosis_pop(value) + 3 AS b2,
+    skewness(value) * (count(*) - 2) / sqrt(CAST(count(*) AS DOUBLE) * (count(*) - 1)) AS g1 FROM FR GROUP BY pair, level),
+KA AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+    sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w,
+    (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+    6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS q FROM KS),
+KB AS (SELECT *, y / sqrt(2 / (w - 1)) AS s, 6 + 8 / q * (2 / q + sqrt(1 + 4 / (q * q))) AS a FROM KA),
+KC AS (SELECT *, 1 / sqrt(0.5::DOUBLE * ln(w)) * ln(s + sqrt(s * s + 1)) AS z1, 1 + x * sqrt(2 / (a - 4)) AS u FROM KB),
+KD AS (SELECT *, (1 - 2 / (9 * a) - sign(u) * cbrt((1 - 2 / a) / abs(u))) / sqrt(2 / (9 * a)) AS z2 FROM KC)"""
+
+
+@query("normality", framed("SELECT pair, level, c AS n, z1 * z1 + z2 * z2 AS k2, exp(-(z1 * z1 + z2 * z2) / 2) AS p_value FROM KD", PAIRS, _K2), "k2 p_value")
+def _(spark, sf):
+    return G.normality(frame(spark, sf, PAIRS, reused=False))
+
+
 @query("shapiro")
 def _(spark, sf):
-    return G.shapiro(frame(spark, sf, PAIRS, marked=True))
+    return G.shapiro(frame(spark, sf, PAIRS))
 
 
 @query("assumption_checks")
 def _(spark, sf):
-    return G.assumptions(frame(spark, sf, PAIRS, marked=True))
+    return G.assumptions(frame(spark, sf, PAIRS))
 
 
 @query("group_comparisons")
 def _(spark, sf):
-    rows = frame(spark, sf, PAIRS, marked=True)
+    rows = frame(spark, sf, PAIRS)
     return G.compare(rows, G.assumptions(rows)).join(G.described(rows), "pair", "left")
 
 

@@ -64,7 +64,27 @@ def _(spark, sf):
     return M.fit_logistic(_risk_design(spark, sf))[1]
 
 
-@query("residual_data")
+_RESIDUALS = """RS AS (SELECT a + s * n_lines AS fitted, base_price - (a + s * n_lines) AS residual FROM P,
+  (SELECT regr_slope(base_price, n_lines) AS s, regr_intercept(base_price, n_lines) AS a FROM P) WHERE base_price IS NOT NULL AND n_lines IS NOT NULL)"""
+
+
+def _one_predictor(spark, sf):
+    return M.fit_linear(M.design_matrix(processes(spark, sf, "base_price", "n_lines"), "base_price", ["n_lines"]))[2]
+
+
+@query("residual_data", with_p("""
+SELECT fitted_bin, residual_bin, count(*) AS n FROM (
+  SELECT CAST(least(41, floor((fitted - fl) / (fh - fl) * 41) + 1) AS BIGINT) AS fitted_bin, CAST(least(41, floor((residual - rl) / (rh - rl) * 41) + 1) AS BIGINT) AS residual_bin
+  FROM RS, (SELECT min(fitted) AS fl, max(fitted) AS fh, min(residual) AS rl, max(residual) AS rh FROM RS)) GROUP BY 1, 2""", _RESIDUALS))
+def _(spark, sf):
+    return M.residual_bins(_one_predictor(spark, sf))
+
+
+_PROBABILITIES = [i / 20 for i in range(1, 20)]
+
+
+@query("residual_quantiles", with_p(f"""
+SELECT p AS probability, r AS residual FROM (
+  SELECT unnest(CAST({_PROBABILITIES} AS DOUBLE[])) AS p, unnest(quantile_cont(residual, {_PROBABILITIES})) AS r FROM RS)""", _RESIDUALS), "probability residual")
 def _(spark, sf):
-    fitted = M.fit_linear(_design(spark, sf))[2]
-    return M.residual_points(fitted, 2000)
+    return M.residual_quantiles(_one_predictor(spark, sf)).drop("normal_quantile")

@@ -269,11 +269,11 @@ def _(spark, sf):
 
 
 @query("crosstab", with_p("""
-SELECT nation, count(*) FILTER (state = 'F') AS F, count(*) FILTER (state = 'O') AS O, count(*) FILTER (state = 'P') AS P
+SELECT nation, count(*) FILTER (state = 'F') AS F, count(*) FILTER (state = 'O') AS O, count(*) FILTER (state NOT IN ('F', 'O')) AS other
 FROM P WHERE nation IN (SELECT nation FROM P WHERE nation IS NOT NULL AND state IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, nation LIMIT 15)
   AND state IS NOT NULL GROUP BY nation"""))
 def _(spark, sf):
-    return A.crosstab(processes(spark, sf, "nation", "state"), "nation", "state", ["F", "O", "P"], top_index=15)
+    return A.crosstab(processes(spark, sf, "nation", "state"), "nation", "state", ["F", "O"], top_index=15)
 
 
 @query("mode_value", with_p(union("""SELECT * FROM (SELECT '{c}' AS "column", {c} AS mode_value, count(*) AS mode_count FROM P WHERE {c} IS NOT NULL

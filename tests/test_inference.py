@@ -54,7 +54,7 @@ def test_kruskal_in_small_ranges(spark, table):
 def test_dispatch_and_rare_groups(spark, table):
     _, df = table
     rare = df.unionByName(df.limit(5).withColumn("g", F.lit("zz")))
-    frame = G.group_frame(rare, [("v", "g"), ("x", "flag")], marked=True)
+    frame = G.group_frame(rare, [("v", "g"), ("x", "flag")])
     assert {r["level"] for r in frame.select("level").distinct().collect()} == {"a", "b", "c", "0", "1"}
     found = {r["pair"]: r for r in G.compare(frame, G.assumptions(frame)).collect()}
     assert found["v|g"]["n_groups"] == 3 and found["v|g"]["p_value"] < 0.001
@@ -130,4 +130,47 @@ def test_inference_plan(spark, table):
     assert found["group_comparisons"].count() == 4
     assert found["categorical_associations"].first()["status"] == "ok"
     assert found["logistic_diagnostics"].first()["status"] == "ok"
-    assert {"linear_coefficients", "posthoc", "mean_intervals"} <= set(found)
+    assert {"linear_coefficients", "posthoc", "mean_intervals", "diagnostics"} <= set(found)
+    assert found["posthoc"].select("pair").distinct().collect() == [("v|g",)]
+    assert {r["analysis"] for r in found["diagnostics"].collect()} >= {"group_comparison", "linear_model", "categorical_association"}
+
+
+def test_linear_model_on_singular_and_perfect_designs(spark, table):
+    _, df = table
+    double = df.withColumns({"x2": F.col("x") * 3 - 1, "flag2": F.col("flag").cast("int")})
+    coefficients, diagnostics, _ = M.fit_linear(M.design_matrix(double, "v", ["x", "x2", "flag2"], ["flag"]))
+    found = diagnostics.first()
+    assert found["status"] == "ok" and found["dropped_terms"] == "x2, flag" and coefficients.count() == 3
+    perfect = M.fit_linear(M.design_matrix(df.withColumn("y", F.col("x") * 2 + 1), "y", ["x"]))
+    assert perfect[1].first()["r2"] == pytest.approx(1.0) and perfect[0].count() == 2
+
+
+def test_fractional_groups_and_missing_numbers(spark):
+    from assayer.operators import intervals, plotdata, profile
+
+    rows = [(float(i % 4) / 4, float(i)) for i in range(200)] + [(0.25, float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g double, v double")
+    levels = {r["level"] for r in G.group_frame(df, [("v", "g")]).select("level").distinct().collect()}
+    assert levels == {"0", "0.25", "0.5", "0.75"}
+    odd = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (float("nan"), "a"), (None, "a"), (5.0, "b")], "v double, g string")
+    assert profile.null_profile(odd).filter("column = 'v'").first()["null_count"] == 2
+    assert intervals.mean_intervals(odd, ["v"]).first()["estimate"] == pytest.approx(8 / 3)
+    assert {r["g"]: r["mean"] for r in profile.numeric_by_group(odd, "v", "g").collect()} == {"a": 1.5, "b": 5.0}
+    assert sum(r["n"] for r in plotdata.histogram(odd, "v", 4).collect()) == 3
+    assert plotdata.boxplot(odd, "v").first()["n"] == 3
+
+
+def test_normality_against_published_form(spark):
+    random = np.random.default_rng(3)
+    groups = {"normal": random.normal(0, 1, 400), "skewed": random.lognormal(0, 1, 400)}
+    frame = spark.createDataFrame([("p", k, float(x)) for k, v in groups.items() for x in v], "pair string, level string, value double")
+    got = {r["level"]: r for r in G.normality(frame).collect()}
+    assert got["normal"]["p_value"] > 0.01 and got["skewed"]["p_value"] < 1e-10 and got["normal"]["n"] == 400
+    assert {r["level"]: r["n"] for r in G.shapiro(frame).collect()} == {"normal": 400, "skewed": 400}
+
+
+def test_levels_beyond_what_is_provided_for_fail(spark):
+    frame = spark.createDataFrame([("p", f"l{i % 4}", float(i)) for i in range(200)], "pair string, level string, value double")
+    with pytest.raises(ValueError, match="4 levels"):
+        G.kruskal(frame, top_n=2)
+    assert G.too_many_levels(frame, 3).collect() == [("p", 4)]

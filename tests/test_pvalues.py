@@ -48,3 +48,27 @@ def test_information_criteria():
     aic, bic = gaussian_criteria(120000, 0.0950224570212999, 26)
     assert aic == pytest.approx(-224276.83817952126)
     assert bic == pytest.approx(-224024.76175695538)
+
+
+def test_tails_keep_their_digits_for_large_samples():
+    """Against the normal limit with its first correction, and an F tail against its chi-square limit."""
+    for df in (1e9, 1e10, 1e11):
+        z = 2.5
+        density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        want = PV.normal_two_sided(z) + density * (z**3 + z) / (2 * df)
+        assert PV.t_two_sided(z, df) == pytest.approx(want, rel=1e-9)
+        assert PV.f_upper(3.0, 2, df) == pytest.approx(math.exp(-3.0) * (1 + 9 / df), rel=1e-8)
+        assert PV.t_quantile(0.975, df) == pytest.approx(1.959963984540054, rel=1e-8)
+    assert PV.f_upper(1.0, 1e9, 1e9) == pytest.approx(0.5, abs=1e-4)
+
+
+def test_fisher_follows_the_spread_and_not_the_counts():
+    from math import comb
+
+    for a, b, c, d in ((3, 7, 9, 2), (0, 5, 6, 1), (12, 30, 25, 8), (1, 0, 0, 1)):
+        row, column, total = a + b, a + c, a + b + c + d
+        weights = {k: comb(column, k) * comb(total - column, row - k) for k in range(max(0, row + column - total), min(row, column) + 1)}
+        want = sum(w for w in weights.values() if w <= weights[a] * (1 + 1e-7)) / sum(weights.values())
+        assert PV.fisher_two_sided(a, b, c, d) == pytest.approx(want, rel=1e-9)
+    assert 0.9 < PV.fisher_two_sided(10**9, 10**9, 10**9, 10**9) <= 1.0
+    assert PV.fisher_two_sided(10**6, 10**6 + 4000, 10**6 + 4000, 10**6) < 0.01

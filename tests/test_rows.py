@@ -146,3 +146,17 @@ def test_sample_is_reproducible_and_proportional(spark):
     assert first.exceptAll(second).count() == 0 and second.exceptAll(first).count() == 0
     assert {r["s"]: r["count"] for r in first.groupBy("s").count().collect()} == {"big": 400, "mid": 100, "one": 1}
     assert sample_rows(df, 10_000, ["id"]).count() == 5000
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from assayer.functions import numbers as N
+    from assayer.functions import text as X
+    from assayer.operators import columns as C
+    from assayer.operators import profile as A
+
+    df = spark.createDataFrame([("\tN/A\n",), ("\t\n",), ("\u00a0N/A",), ("\t12\n",), (" real \u3000",)], "t string")
+    got = [tuple(r) for r in df.select(X.non_placeholder(F.col("t")), X.text_length(F.col("t")), N.to_number(F.col("t"))).collect()]
+    assert got == [(False, 3, None), (False, 0, None), (False, 3, None), (True, 2, 12.0), (True, 4, None)]
+    assert A.text_quality(df, ["t"]).first()["blank_pct"] == 20.0
+    codes = spark.createDataFrame([("7021", "2024-01-02"), ("8905", "2024-01-03 10:00:00")], "code string, day string")
+    assert {r["column"]: r["is_candidate"] for r in C.date_candidates(codes).collect()} == {"code": False, "day": True}
