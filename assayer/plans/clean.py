@@ -88,10 +88,8 @@ def corrected(df: DataFrame, spec: Spec) -> DataFrame:
 
 
 def clean(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
-    base = corrected(coerce(df, spec, nfkc), spec)
-    needed = [c for c in (spec.price, spec.price_group, spec.duration, spec.duration_unit) if c]
-    reference = materialise(base.select(*dict.fromkeys(needed)))  # the few columns the threshold passes read
-    derived = _derive(drop_exact(base), spec, reference)
+    base = materialise(corrected(coerce(df, spec, nfkc), spec))  # read by deduplication and, its few columns, by the thresholds
+    derived = _derive(drop_exact(base), spec, base)
     candidates = [c for c in derived.columns if c not in spec.dropped and c != "was_exact_duplicate"]
     single = drop_logical(derived, spec.id, candidates, spec.latest, spec.tie_break)
     return single.drop(*[c for c in spec.dropped if c in single.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,6 @@ RUNTIME_CONF = {
 STARTUP_CONF = {
     # Call-site capture doubles the driver's work on plans with hundreds of expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Intermediates written by ``materialise`` go away with the frame that used them.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,10 +64,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate once to the checkpoint folder and read it back from there.
+    """Write an intermediate once as Parquet to the checkpoint folder and read it back from there.
 
-    For results several later steps read. Unlike a cache it takes no executor
-    memory and survives the loss of executors; it also cuts the plan short.
+    For results several later steps read: unlike a cache it takes no executor memory and survives the loss of executors, and
+    later steps prune its columns and know its size. The files stay until ``release`` or the end of the folder itself.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_intermediates(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _intermediates(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/intermediates"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``materialise`` has written in this session; frames built on it can no longer be read."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_intermediates(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

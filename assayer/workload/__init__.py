@@ -1,6 +1,6 @@
 """Registered queries: one entry per operator, each with its check SQL where SQL can say it."""
 
-from assayer.workload.registry import ORACLES, QUERIES
+from assayer.workload.registry import ORACLES, QUERIES, complete
 from assayer.workload import (  # noqa: F401  (importing registers)
     q_columns,
     q_inference,
@@ -10,4 +10,6 @@ from assayer.workload import (  # noqa: F401  (importing registers)
     q_sources,
 )
 
+complete()
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -67,7 +67,19 @@ def _(spark, sf):
     return C.column_audit(processes(spark, sf), SPEC, nfkc=False)
 
 
-@query("column_groups")
+_SQL_TYPES = "CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'timestamp' END"
+
+
+def group_sql(column: str, position: int, source: str) -> str:
+    """Position, type and semantic group of one column: its type first, its role second, 0/1 values last."""
+    named = "'text'" if column == SPEC.description else "'technical'" if column in SPEC.traceability else "'categorical'"
+    return f"""SELECT {position} AS column_position, '{column}' AS "column", dtype, CASE WHEN dtype = 'timestamp' THEN 'datetime' WHEN dtype = 'boolean' THEN 'boolean'
+  WHEN dtype = 'string' THEN {named} WHEN inside THEN 'binary_numeric' ELSE 'numeric' END AS semantic_group
+FROM (SELECT {_SQL_TYPES.format(c=column)} AS dtype, bool_and(CAST({column} AS VARCHAR) IN ('0', '1', '0.0', '1.0')) AS inside FROM {source})"""
+
+
+@query("column_groups", with_p("\nUNION ALL\n".join(
+    group_sql(c, i, "(SELECT *, url IS NOT NULL AS has_url, CAST(base_price > 0 AS INT) AS flag_price FROM P)") for i, c in enumerate((*P_COLUMNS, "has_url", "flag_price"), 1))))
 def _(spark, sf):
     rows = processes(spark, sf).withColumns({"has_url": F.col("url").isNotNull(), "flag_price": (F.col("base_price") > 0).cast("int")})
     return C.group_table(rows, SPEC)

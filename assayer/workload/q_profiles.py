@@ -297,7 +297,19 @@ def _(spark, sf):
     return C.inventory(processes(spark, sf), SPEC).select("column", "non_null_count", "null_count", "null_pct", "distinct_values")
 
 
-@query("column_inventory_full")
+def _inventory_sql() -> str:
+    from assayer.workload.q_columns import group_sql  # q_columns builds on this module
+
+    roles = C.role_names(SPEC)
+    rows = [
+        f"""SELECT g.*, '{' | '.join(roles.get(c, [])) or 'none'}' AS roles, {'TRUE' if c in roles else 'FALSE'} AS has_role, n.* FROM ({group_sql(c, i, 'P')}) g,
+  (SELECT count({c}) AS non_null_count, count(*) - count({c}) AS null_count, {sql_pct(f'(count(*) - count({c}))', 'count(*)')} AS null_pct, count(DISTINCT {c}) AS distinct_values FROM P) n"""
+        for i, c in enumerate(P_COLUMNS, 1)
+    ]
+    return with_p("\nUNION ALL\n".join(rows))
+
+
+@query("column_inventory_full", deferred=_inventory_sql, doubles="null_pct")
 def _(spark, sf):
     return C.inventory(processes(spark, sf), SPEC)
 

@@ -146,7 +146,11 @@ def _(spark, sf):
     )
 
 
-@query("map_key_groups")
+@query("map_key_groups", """
+SELECT props, count(*) AS n FROM (
+  SELECT concat('{', array_to_string(list_sort(list_append(
+    list_transform(json_keys(props), lambda k: concat('"', k, '":"', json_extract_string(props, concat('$."', k, '"')), '"')),
+    concat('"event":"', event_type, '"'))), ','), '}') AS props FROM events) GROUP BY props""")
 def _(spark, sf):
     both = F.to_json(F.map_concat(
         F.from_json("props", "map<string,string>"), F.create_map(F.lit("event"), F.col("event_type"))

@@ -34,8 +34,11 @@ def _presented_sql(sql: str, doubles: str) -> str:
     return f"SELECT * REPLACE ({items}) FROM (\n{sql}\n) AS presented"
 
 
-def query(key: str, sql: str | None = None, doubles: str = ""):
-    """Register a query; ``doubles`` lists the floating-point columns of the check SQL."""
+DEFERRED: dict[str, tuple[Callable[[], str], str]] = {}
+
+
+def query(key: str, sql: str | None = None, doubles: str = "", deferred: Callable[[], str] | None = None):
+    """Register a query; ``doubles`` lists the floating-point columns of the check SQL, ``deferred`` builds it once all are registered."""
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +48,16 @@ def query(key: str, sql: str | None = None, doubles: str = ""):
         if key in QUERIES:
             raise ValueError(f"query registered twice: {key}")
         QUERIES[key] = run
+        if deferred is not None:
+            DEFERRED[key] = deferred, doubles
         if sql is not None:
             ORACLES[key] = _presented_sql(sql, doubles)
         return function
 
     return register
+
+
+def complete() -> None:
+    """Build the check SQL that needs other modules' pieces."""
+    for key, (build, doubles) in DEFERRED.items():
+        ORACLES[key] = _presented_sql(build(), doubles)
