@@ -199,17 +199,25 @@ def _lookup(pairs: dict[str, object], token: Column) -> Column:
 
 def duration_unit(column: Column, nfkc: bool = False) -> Column:
     """Canonical unit name; anything not recognised is the unknown-unit label."""
+    return unit_of_token(normalize_token(column, nfkc))
+
+
+def unit_of_token(token: Column) -> Column:
+    """``duration_unit`` of a token from an earlier projection."""
     names = dict.fromkeys((*NOT_APPLICABLE_TOKENS, NOT_APPLICABLE_LABEL.lower()), NOT_APPLICABLE_LABEL)
     for name, (spellings, _) in DURATION_UNITS.items():
         names.update(dict.fromkeys(spellings, name))
-    token = normalize_token(column, nfkc)
     return F.coalesce(_lookup(names, token), F.when(token.isNotNull(), UNKNOWN_UNIT_LABEL))
 
 
 def unit_days(column: Column) -> Column:
     """Days in one unit, raw or canonical; null for unknown or not-applicable units."""
+    return days_of_token(normalize_token(column))
+
+
+def days_of_token(token: Column) -> Column:
     days = {s: value for spellings, value in DURATION_UNITS.values() for s in spellings}
-    return _lookup(days, normalize_token(column))
+    return _lookup(days, token)
 
 
 def normalize_column_name(name: str) -> str:

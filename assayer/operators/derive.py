@@ -70,19 +70,26 @@ def with_price_flags(df: DataFrame, spec: Spec, reference: DataFrame | None = No
     }).select(*df.columns, "price_is_zero", "price_log", "flag_extreme_price")
 
 
+def with_unit_token(df: DataFrame, spec: Spec) -> DataFrame:
+    """The unit's token in projections of its own, as the expressions behind it read it several times."""
+    return df.withColumn("__unit", X.normalize_text(F.col(spec.duration_unit))).withColumn("__unit", X.token_of(F.col("__unit")))
+
+
 def duration_in_days(spec: Spec) -> Column:
-    return N.non_negative(F.col(spec.duration)) * X.unit_days(F.col(spec.duration_unit))
+    """Of a frame from ``with_unit_token``."""
+    return N.non_negative(F.col(spec.duration)) * X.days_of_token(F.col("__unit"))
 
 
 def with_duration(df: DataFrame, spec: Spec, reference: DataFrame | None = None) -> DataFrame:
     """Duration in days, improbable flag, unknown-unit flag; the unit becomes its canonical name."""
-    source = df if reference is None else reference
+    needed = dict.fromkeys((spec.duration, spec.duration_unit))
+    source = with_unit_token(materialise(df.select(*needed)) if reference is None else reference, spec)  # read by three passes
     limit = global_threshold(source, duration_in_days(spec), DURATION_QUANTILE).scalar()
-    derived = df.withColumns({
+    derived = with_unit_token(df, spec).withColumns({
         "duration_days": duration_in_days(spec),
-        spec.duration_unit: X.duration_unit(F.col(spec.duration_unit)),
+        spec.duration_unit: X.unit_of_token(F.col("__unit")),
         spec.duration: N.non_negative(F.col(spec.duration)),
-    })
+    }).drop("__unit")
     return derived.withColumns({
         "duration_improbable": F.coalesce(
             F.col("duration_days") > F.greatest(limit, F.lit(DURATION_FLOOR_DAYS)), F.lit(False)
