@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Prefixes, partitions, slices, text_or_empty, utf8
+from assayer.llm.common import Prefixes, mixed, partitions, slices, text_or_empty, utf8
 
 SPAN = 100
 CORE = 36
@@ -153,8 +153,14 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings sorted keys together by bucket, and their buckets in it.
+
+    Core hashes are minima of many and so lie close to zero; they are scrambled once more before they are dealt.
+    """
+    bucket = ((mixed(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
 
 
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -181,7 +187,9 @@ def send_cores(table: pa.Table, buckets: int) -> pa.Table:
     at = kind[head]
     text = got["text"][at]
     columns = (core[head], got["region"][at], np.minimum(kinds, 65535).astype(np.uint16), group.high[text], group.low[text], got["first"][at].astype(np.uint32))
-    rows = [(b, r, packed(*(c[x:y] for c in columns))) for b, x, y in _cuts(_bucket(columns[0], buckets))]
+    order, bucket = _dealt(columns[0], buckets)
+    columns = tuple(c[order] for c in columns)
+    rows = [(b, r, packed(*(c[x:y] for c in columns))) for b, x, y in _cuts(bucket)]
     return _rows(rows, ["bucket", "r", "entries"], [pa.int32(), pa.int32(), pa.binary()])
 
 
@@ -350,7 +358,9 @@ def send_suffixes(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
         spans.append((owner[~new], start[~new], start[~new] + SPAN))
         owner, start, core, string = owner[new], start[new], core[new], string[new]
         columns = (string, core, group.high[owner], group.low[owner], start.astype(np.uint32), owner.astype(np.uint32))
-        rows += [(b, r, 2, packed(*(c[x:y] for c in columns))) for b, x, y in _cuts(_bucket(string, buckets))]
+        order, bucket = _dealt(string, buckets)
+        columns = tuple(c[order] for c in columns)
+        rows += [(b, r, 2, packed(*(c[x:y] for c in columns))) for b, x, y in _cuts(bucket)]
 
     go = np.flatnonzero(fresh & (verdict == SEVERAL))
     if len(go):
@@ -360,9 +370,9 @@ def send_suffixes(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
             lefts.append(body[a:p].tobytes())
             rights.append(body[p + CORE : b + SPAN].tobytes())
         core = got["core"][go]
-        bucket = _bucket(core, buckets)
-        for b, x, y in _cuts(bucket):  # by core already
-            order = sorted(range(x, y), key=lambda i: (core[i], rights[i]))
+        by, bucket = _dealt(core, buckets)
+        for b, x, y in _cuts(bucket):
+            order = sorted(by[x:y].tolist(), key=lambda i: (core[i], rights[i]))
             chosen = np.array(order)
             mine = core[chosen]
             shared, sizes, rests = front_coded(mine, [rights[i] for i in order])
