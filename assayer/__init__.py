@@ -5,7 +5,7 @@ Sub-packages
 * ``sources``    reading, windowed extraction, sinks
 * ``functions``  column expressions (text, numbers, dates) and scalar tail probabilities
 * ``operators``  one module per family: column audit, profiles, dedup, scores, tests, models
-* ``plans``      the three whole pipelines: clean, score, describe/infer
+* ``plans``      the whole pipelines: clean, score, describe, infer, report
 * ``streaming``  the stateless scoring plan over a streaming frame
 * ``workload``   the fixtures and the registered queries with their check SQL
 """

@@ -340,11 +340,13 @@ def compare(frame: DataFrame, assumed: DataFrame, top_n: int = 8) -> DataFrame:
     t = welch(frame).select("pair", "t", "df", F.col("cohens_d")).withColumn("t_p", PV.p_t("t", "df"))
     two = F.broadcast(assumed.filter("n_groups = 2").select("pair"))
     t = t.join(two, "pair", "left_semi")
-    u = mann_whitney(frame, 2).select("pair", "u", "rank_biserial", "z").withColumn("u_p", F.least(F.lit(1.0), PV.p_normal("z"))).drop("z")
+    pair = frame.join(two, "pair", "left_semi")
+    several = frame.join(F.broadcast(assumed.filter("n_groups > 2").select("pair")), "pair", "left_semi")
+    u = mann_whitney(pair, 2).select("pair", "u", "rank_biserial", "z").withColumn("u_p", F.least(F.lit(1.0), PV.p_normal("z"))).drop("z")
     f = anova(frame).select("pair", "f", "eta_squared", "df_between", "df_within").withColumn(
         "f_p", PV.p_f("f", *_double("df_between", "df_within"))
     ).drop("df_between", "df_within")
-    h = kruskal(frame, top_n).select("pair", "h", "epsilon_squared", F.col("df").alias("h_df")).withColumn(
+    h = kruskal(several, top_n).select("pair", "h", "epsilon_squared", F.col("df").alias("h_df")).withColumn(
         "h_p", PV.p_chi2("h", F.col("h_df").cast("double"))
     ).drop("h_df")
     joined = assumed

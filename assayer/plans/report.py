@@ -40,8 +40,12 @@ def key_findings(df: DataFrame, keys: Sequence[str], categories: Sequence[str],
     return found
 
 
-def run_summary(df: DataFrame, spec: Spec) -> DataFrame:
-    """One row: size, distinct ids, the worst null count, anomalies and values that cleaning will correct."""
+def run_summary(df: DataFrame, spec: Spec, conversions: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """One row: size, distinct ids, the worst null count, anomalies and values that cleaning will correct.
+
+    ``conversions`` (from ``conversion_summary``) adds the values that conversions lost, ``tests`` (with a p-value each) the
+    tests that ran and those below .05.
+    """
     counted = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.greatest(*[F.count_if(F.col(c).isNull()) for c in df.columns]).alias("most_nulls"),
@@ -50,8 +54,15 @@ def run_summary(df: DataFrame, spec: Spec) -> DataFrame:
         F.count_if(F.col(spec.duration) < 0).alias("negative_durations"),
     )
     ids = df.filter(F.col(spec.id).isNotNull()).groupBy(spec.id).agg(F.lit(1)).agg(F.count(F.lit(1))).scalar()
+    more = []
+    if conversions is not None:
+        more.append(conversions.agg(F.coalesce(F.sum("coerced_to_null"), F.lit(0)).alias("v")).scalar().alias("conversions_lost"))
+    if tests is not None:
+        more.append(tests.agg(F.count("p_value").alias("v")).scalar().alias("tests_run"))
+        more.append(tests.agg(F.count_if(F.col("p_value") < 0.05).alias("v")).scalar().alias("significant_tests"))
     return counted.select(
-        "n_rows", F.lit(len(df.columns)).alias("n_columns"), ids.alias("distinct_ids"), "most_nulls", "temporal_anomalies", "negative_prices", "negative_durations"
+        "n_rows", F.lit(len(df.columns)).alias("n_columns"), ids.alias("distinct_ids"), "most_nulls", "temporal_anomalies", "negative_prices",
+        "negative_durations", *more,
     )
 
 
@@ -96,6 +107,7 @@ def quality_report(df: DataFrame, spec: Spec, nfkc: str | bool = "auto", cleaned
     cleaning plan when there is one; otherwise it is computed once and kept in
     the checkpoint folder, because every fact reads it.
     """
+    df = materialise(df)  # read by cleaning, by the corrections and by three reductions
     if cleaned is None:
         cleaned = materialise(clean(df, spec, nfkc))
     base = coerce(df, spec, nfkc)

@@ -146,6 +146,27 @@ def _(spark, sf):
     )
 
 
+@query("flatten_url_forms", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('https://example.org/e/', event_id) END AS from_struct,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('https://example.org/e/', event_id) END AS from_json, concat('https://example.org/e/', event_id) AS from_text FROM events""")
+def _(spark, sf):
+    url = F.concat(F.lit("https://example.org/e/"), F.col("event_id").cast("string"))
+    made = F.when(F.col("event_id") % 3 != 0, url)
+    rows = table(spark, sf, "events").select(
+        "event_id", F.struct(made.alias("url")).alias("s"), F.to_json(F.struct(made.alias("url"))).alias("j"), F.concat(F.lit("  "), url).alias("t"),
+    )
+    return rows.select("event_id", *[X.flatten_url(rows, c).alias(n) for c, n in (("s", "from_struct"), ("j", "from_json"), ("t", "from_text"))])
+
+
+@query("hashable_groups", """
+SELECT m, n FROM (SELECT concat('{"a":"', event_type, '","b":"', CAST(event_id % 5 AS VARCHAR), '"}') AS m, count(*) AS n FROM events GROUP BY 1)""")
+def _(spark, sf):
+    a, b = (F.lit("a"), F.col("event_type")), (F.lit("b"), (F.col("event_id") % 5).cast("string"))
+    either = F.when(F.col("event_id") % 2 == 0, F.create_map(*a, *b)).otherwise(F.create_map(*b, *a))  # the same map in two orders
+    rows = table(spark, sf, "events").select(either.alias("m"))
+    return rows.select(X.hashable(rows, "m").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("map_key_groups", """
 SELECT props, count(*) AS n FROM (
   SELECT concat('{', array_to_string(list_sort(list_append(

@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from assayer.functions import numbers as N
+from assayer.operators import columns as C
 from assayer.plans import report
 from assayer.sources import scan, sinks
 from assayer.workload.fixtures import P_COLUMNS, SPEC, duplicated, events, processes, table, with_p
-from assayer.workload.q_profiles import CATEGORIES, sql_pct, union
+from assayer.workload.q_profiles import sql_pct, union
 from assayer.workload.q_rows import stamp
 from assayer.workload.registry import query
 
@@ -80,6 +82,24 @@ def _(spark, sf):
     return report.run_summary(processes(spark, sf), SPEC)
 
 
+@query("run_summary_tests", with_p("""
+SELECT n_rows, conversions_lost, tests_run, significant_tests FROM
+  (SELECT count(*) AS n_rows, count(duration_unit) - count(TRY_CAST(duration_unit AS DOUBLE)) AS conversions_lost FROM P),
+  (SELECT count(p) AS tests_run, count(*) FILTER (p < 0.05) AS significant_tests FROM (
+    SELECT exp(-(n - e) * (n - e) / e / 2) AS p FROM (
+      SELECT n, sum(n) OVER (PARTITION BY segment) * sum(n) OVER (PARTITION BY mode) / CAST(sum(n) OVER () AS DOUBLE) AS e
+      FROM (SELECT segment, mode, count(*) AS n FROM P GROUP BY 1, 2))))"""))
+def _(spark, sf):
+    rows = processes(spark, sf)
+    lost = C.conversion_summary(rows, {"duration_unit": ("numeric", N.to_number(F.col("duration_unit")))})
+    cells = rows.groupBy("segment", "mode").agg(F.count(F.lit(1)).alias("n"))
+    both = cells.join(F.broadcast(cells.groupBy("segment").agg(F.sum("n").alias("row_n"))), "segment").join(F.broadcast(cells.groupBy("mode").agg(F.sum("n").alias("col_n"))), "mode")
+    expected = F.col("row_n") * F.col("col_n") / cells.agg(F.sum("n")).scalar().cast("double")
+    gap = F.col("n") - expected
+    tests = both.select(F.exp(-gap * gap / expected / 2).alias("p_value"))
+    return report.run_summary(rows, SPEC, lost, tests).select("n_rows", "conversions_lost", "tests_run", "significant_tests")
+
+
 @query("quality_report")
 def _(spark, sf):
     return report.quality_report(duplicated(spark, sf), SPEC, nfkc=False)

@@ -160,3 +160,15 @@ def test_white_space_of_any_kind_is_stripped(spark):
     assert A.text_quality(df, ["t"]).first()["blank_pct"] == 20.0
     codes = spark.createDataFrame([("7021", "2024-01-02"), ("8905", "2024-01-03 10:00:00")], "code string, day string")
     assert {r["column"]: r["is_candidate"] for r in C.date_candidates(codes).collect()} == {"code": False, "day": True}
+
+
+def test_describe_plan(spark):
+    from assayer.plans.describe import describe
+    from assayer.workload.fixtures import SPEC, processes
+
+    rows = processes(spark, "/root/testdata/sf0.001")
+    found = describe(rows, SPEC, entities=["nation"])
+    assert {"overview", "inventory", "numeric_profile", "categorical_profile", "datetime_profile", "text_quality", "price_by_segment", "state_by_mode", "entities_by_nation"} <= set(found)
+    assert found["overview"].first()["n_rows"] == rows.count()
+    assert found["inventory"].count() == len(rows.columns)
+    assert all(frame.columns for frame in found.values())
