@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # White space as Unicode defines it, plus the four ASCII separators, at either end of a text.
-_SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SPACE_ENDS = rf"^{_SPACE}+|{_SPACE}+$"
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MICROS_PER_DAY = 86400 * 1_000_000
 
 
@@ -22,7 +21,7 @@ def to_number(column: Column, strip_symbols: bool = False) -> Column:
     text = column.cast("string")
     if strip_symbols:
         text = F.translate(text, ",$%", "")
-    text = F.regexp_replace(text, SPACE_ENDS, "")
+    text = F.btrim(text, F.lit(SPACES))
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.numbers import SPACE_ENDS
+from assayer.functions.numbers import SPACES
 from assayer.spec import (
     DURATION_UNITS,
     MISSING_TOKENS,
@@ -95,6 +95,18 @@ def token_of(text: Column, nfkc: bool = False) -> Column:
     return F.when(is_ascii(text), lower).otherwise(_tidy(folded))
 
 
+def with_tokens(df: DataFrame, tokens: dict[str, Column]) -> DataFrame:
+    """Add ``normalize_token`` columns step by step, so that no step repeats the one before it inside its expression."""
+    out = df.withColumns({f"__t_{n}": normalize_text(c) for n, c in tokens.items()})
+    folded = {
+        f"__f_{n}": F.when(~is_ascii(F.col(f"__t_{n}")), F.regexp_replace(F.translate(F.lower(F.col(f"__t_{n}")), _ACCENTED, _PLAIN), NON_ASCII, "")) for n in tokens
+    }
+    out = out.withColumns(folded).withColumns({
+        n: F.when(is_ascii(F.col(f"__t_{n}")), F.lower(F.col(f"__t_{n}"))).otherwise(_tidy(F.col(f"__f_{n}"))) for n in tokens
+    })
+    return out.drop(*[f"__{k}_{n}" for n in tokens for k in "tf"])
+
+
 def normalize_token(column: Column, nfkc: bool = False) -> Column:
     """Lower case, no accents, ASCII only: the form placeholder lists are compared in."""
     return token_of(normalize_text(column, nfkc), nfkc)
@@ -140,7 +152,7 @@ def missing_state(column: Column) -> Column:
 
 def stripped(column: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(column.cast("string"), SPACE_ENDS, "")
+    return F.btrim(column.cast("string"), F.lit(SPACES))
 
 
 def trimmed(column: Column) -> Column:

@@ -191,7 +191,6 @@ def ordered_counts(frame: DataFrame, max_levels: int, range_rows: int | None = N
     legend = frame.groupBy("pair", "level").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "position", F.row_number().over(Window.partitionBy("pair").orderBy("level")) - 1
     )
-    legend = materialise(legend)
     found = (legend.agg(F.max("position")).first()[0] or 0) + 1
     if found > max_levels:
         raise ValueError(f"the frame has {found} levels in a pair, {max_levels} are provided for")

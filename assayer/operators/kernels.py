@@ -127,15 +127,14 @@ def _narrowed(long: DataFrame, ranges: DataFrame, by: Sequence[str], probs: Sequ
 
 
 def _bounded_ranges(
-    long: DataFrame, ranges: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int, ordered_rows: int
+    long: DataFrame, ranges: DataFrame, most: int, by: Sequence[str], probs: Sequence[float], accuracy: int, ordered_rows: int
 ) -> DataFrame:
     """Value ranges that leave at most about ``ordered_rows`` rows to be ordered for each key and probability.
 
     A sketch leaves 8 / ``accuracy`` of a key's rows. Keys for which that is too many, which only large keys are, have their
-    ranges narrowed until it is not; each round leaves a hundredth. The driver sees one number a round.
+    ranges narrowed until it is not; each round leaves a hundredth. ``most``: rows of the largest key.
     """
     share = 8.0 / accuracy
-    most = ranges.agg(F.max("n")).first()[0] or 0
     if most <= 4 * accuracy or most * share <= ordered_rows:
         return ranges
     wide = (F.col("n") > 4 * accuracy) & (F.col("n") * share > ordered_rows)
@@ -202,9 +201,10 @@ def ordered_values(
     by = [*keys, "column"]
     long = long_form(df, columns, keys, "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     ranges = materialise(_brackets(long, by, probs, accuracy))
-    ranges = _bounded_ranges(long, ranges, by, probs, accuracy, ordered_rows)
+    size = ranges.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    ranges = _bounded_ranges(long, ranges, size["most"], by, probs, accuracy, ordered_rows)
     # Without keys there is one row per listed column, which is bounded by the schema.
-    side = F.broadcast(ranges) if few_keys or not keys else sized_side(ranges)
+    side = F.broadcast(ranges) if few_keys or not keys or size["keys"] <= SMALL_SIDE_ROWS else ranges
     placed = null_safe_join(long, side, by)
 
     value, count = F.col("value"), len(probs)

@@ -79,7 +79,7 @@ def _(spark, sf):
 
 @query("normalize_token", f"SELECT doc_id, lang, {sql_token('text')} AS token FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", X.normalize_token(F.col("text")).alias("token"))
+    return X.with_tokens(table(spark, sf, "documents").select("doc_id", "lang", "text"), {"token": F.col("text")}).drop("text")
 
 
 _SEG_TOKEN = sql_token("segment")
