@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words; DataFrame functions only.
 
-The words of all licence notices are ranked once by how few documents hold them. Of each file only the places of its rarest
-licence words are looked up; a notice's postings for these words, taken relative to the places, vote for where the notice would
-begin, and the best beginning gives the share of postings that agree. A label counts once a mandatory phrase of its notice
-stands in the file.
+The words of all licence notices are ranked once by how few documents hold them; the rarest word of each mandatory phrase says
+which files are looked at. A label counts once a mandatory phrase of its notice stands in the file. All places of that notice's
+words, taken relative to its postings, then vote for where the notice would begin, and the best beginning gives the share of
+postings that agree.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 ]
-RARE_WORDS = 8  # of a file's licence words, those that are looked up
 VOCABULARY = sorted({w for _, notice, phrases in NOTICES for text in (notice, *phrases) for w in text.split()})
 
 
@@ -63,13 +62,13 @@ def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + total) / (1 + found.get(w, 0))) for w in VOCABULARY}
 
 
-def _begins(hit: Column, notice: str) -> Column:
-    """Where the notice would begin, for each of its postings of a looked-up word (null: the word is not in it)."""
+def _begins(word: Column, place: Column, notice: str) -> Column:
+    """Where the notice would begin, for each of its postings of the word at ``place`` (null: the word is not in it)."""
     words = notice.split()
     postings = {w: [i for i, x in enumerate(words) if x == w] for w in dict.fromkeys(words)}
     begins = F.lit(None).cast("array<int>")
     for w, at in postings.items():
-        begins = F.when(hit["word"] == w, F.transform(F.array(*[F.lit(i) for i in at]), lambda i: hit["at"] - i)).otherwise(begins)
+        begins = F.when(word == w, F.transform(F.array(*[F.lit(i) for i in at]), lambda i: place - i)).otherwise(begins)
     return begins
 
 
@@ -97,25 +96,20 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
             label = F.when(_phrase_at(F.col("__words"), phrase, i), name).otherwise(label)
         return F.struct(i.alias("at"), F.when(word.isin(sorted({p.split()[0] for p in BASE})), label).alias("label"))
 
-    looked_up = F.slice("__present", 1, RARE_WORDS)
     read = words.select(
-        *keep, "__words",
+        *keep, "__words", "__present", suspect.alias("__suspect"),
         F.when(phrased, F.filter(F.transform("__words", base), lambda s: s["label"].isNotNull())).otherwise(none).alias("__base"),
-        F.when(suspect, F.filter(
-            F.transform("__words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda s: F.array_contains(looked_up, s["word"]),
-        )).alias("__hits"),
-        F.when(suspect, looked_up).alias("__rare"),
     )
 
     def votes(notice: str) -> Column:
-        begins = F.array_sort(F.flatten(F.filter(F.transform("__hits", lambda h: _begins(h, notice)), lambda b: b.isNotNull())))
+        begins = F.array_sort(F.flatten(F.filter(F.transform("__words", lambda w, i: _begins(w, i, notice)), lambda b: b.isNotNull())))
         zero = F.struct(F.lit(None).cast("int").alias("now"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
         def step(s: Column, b: Column) -> Column:
             run = F.when(s["now"] == b, s["run"] + 1).otherwise(1)
             return F.struct(b.alias("now"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-        places = F.size(F.filter(_texts(notice.split()), lambda w: F.array_contains("__rare", w)))
+        places = F.size(F.filter(_texts(notice.split()), lambda w: F.array_contains("__present", w)))
         most = F.aggregate(begins, zero, step, lambda s: s["most"])
         return F.when(places > 0, F.least(F.lit(1.0), most / places)).otherwise(0.0)
 
@@ -129,7 +123,7 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
     verdicts = F.array(*[
         F.when(stands(phrases), F.struct(F.lit(label).alias("label"), votes(notice).alias("share"))) for label, notice, phrases in NOTICES
     ])
-    judged = read.select(*keep, "__words", "__base", F.when(F.size("__hits") > 0, F.filter(verdicts, lambda v: v.isNotNull())).alias("__found"))
+    judged = read.select(*keep, "__words", "__base", F.when(F.col("__suspect"), F.filter(verdicts, lambda v: v.isNotNull())).alias("__found"))
     labels = F.transform("__base", lambda s: s["label"])
     more = F.coalesce(F.transform("__found", lambda v: v["label"]), F.array().cast("array<string>"))
     share = F.coalesce(F.array_max(F.transform("__found", lambda v: v["share"])), F.lit(0.0))

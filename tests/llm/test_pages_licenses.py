@@ -62,3 +62,14 @@ def test_license_scan(spark):
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in rows)
     assert scan_licenses(docs.where(F.lit(False))).collect() == []
     assert "Python" not in (plan := scan_licenses(docs)._jdf.queryExecution().toString()) and "Arrow" not in plan
+
+
+def test_whole_notices_score_one_beside_rarer_words(spark):
+    """A notice's share counts its own words, whatever rarer words of other notices the file holds."""
+    from assayer.llm.licenses import NOTICES, VOCABULARY, scan_licenses
+
+    others = ["affero", "any", "associated", "attribution", "binary", "can", "cc0", "charge"]
+    idf = {w: 9.0 if w in others else 1.0 for w in VOCABULARY}
+    docs = spark.createDataFrame([(k, " ".join([*others, "x", notice, "y"])) for k, (_, notice, _) in enumerate(NOTICES)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in scan_licenses(docs, idf).collect()}
+    assert all(name in rows[k]["labels"].split(",") and rows[k]["score"] == 1 for k, (name, _, _) in enumerate(NOTICES))
