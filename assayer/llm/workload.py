@@ -102,3 +102,25 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), scratch_path(spark, "tokens"))
     return read_token_files(files)
+
+
+@query()
+def op11_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.toxicity import fit
+
+    docs = read_table(spark, sf_dir, "documents")
+    return fit(docs, read_table(spark, sf_dir, "labels")).score(docs)
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.conversations import repair_conversations
+
+    return repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
