@@ -46,8 +46,9 @@ FEATURES = (
 )
 
 _WORD = re.compile(r"[^\W_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+[@$!*0134557][\w@$!*]*[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\S)")
+# A match begins at a word's first letter only and a spaced one is bounded, so that both are linear in the text.
+_DISGUISED = re.compile(r"(?<![\w@$!*])[^\W\d_]++[@$!*0134557][\w@$!*]*[^\W\d_]")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-]){3,30}[^\W\d_](?!\S)")
 _SHOUTED = re.compile(r"\b[A-Z]{2,}\b")
 _REPEATED = re.compile(r"[!?.]{2,}")
 
