@@ -4,7 +4,7 @@ Words within one edit are found without comparing all of them. A word's bigrams
 to the third of them, and two disjoint bigrams of that prefix, chosen by dynamic programming for the least frequency, are its
 *pivots*. One edit cannot touch both pivots, so of two near words one has a pivot that the other holds in its prefix. A pivot that
 is intact lies on one side of the edit: what stands on its other side is intact as well and the pivot's place moves by the change of
-length or not at all. These position limits are part of the key, and what meets under a key is verified by its edit distance.
+length or not at all. These position limits make the keys, and what meets under a key is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -89,29 +89,38 @@ def prefix_and_pivots(word: str, counts: dict[str, int]) -> tuple[list[int], lis
     return prefix, list(best[-1][EDITS + 1][1])
 
 
-def _key(side: str, length: int, at: int, part: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{side}{length}:{at}:{part}")
-    return h - (1 << 64) if h >> 63 else h
+def keys(word: str, places: list[int], pivots: bool) -> set[int]:
+    """Keys a word looks up by its pivots, or under which it can be found by its prefix grams.
 
-
-def index_keys(word: str, prefix: list[int]) -> set[int]:
-    """Keys under which a word can be found: each prefix gram with all that precedes it, and with all that follows it."""
-    return {k for p in prefix for k in (_key("<", len(word), p, word[: p + GRAM]), _key(">", len(word), p, word[p:]))}
-
-
-def pivot_keys(word: str, pivots: list[int]) -> set[int]:
-    """Keys a word looks up: the edit is behind a pivot, which stays in place, or before it, which moves with the length."""
-    return {
-        k for p in pivots for d in (-EDITS, 0, EDITS)
-        for k in (_key("<", len(word) + d, p, word[: p + GRAM]), _key(">", len(word) + d, p + d, word[p:]))
-    }
+    The intact gram is behind the edit or before it, so the word's end from the gram on, or its beginning up to the gram, is intact.
+    Where that part is less than half of the indexed word, the stretch with the edit is halved and one half is intact as well. Every
+    key thus holds about half of a word or more, with both lengths and the gram's distance from the intact end.
+    """
+    found = set()
+    for at in places:
+        for d in (-EDITS, 0, EDITS):
+            own, other = len(word), len(word) + d
+            held = other if pivots else own  # length of the indexed word
+            base = min(own, other)
+            for side, k in (("<", at + GRAM), (">", own - at)):
+                if 2 * k >= held:
+                    parts = [(word[:k] if side == "<" else word[own - k :], "")]
+                elif side == "<":
+                    m = (k + base + 1) // 2
+                    parts = [(word[:m], ""), (word[:k], word[own - base + m :])]
+                else:
+                    m = (base - k) // 2
+                    parts = [(word[:m], word[own - k :]), ("", word[own - base + m :])]
+                tag = f"{side}{k}:{held}:" if 2 * k >= held else f"{side}{k}:{held}:{own if pivots else other}:"
+                found.update(xxhash.xxh64_intdigest(f"{tag}{x}|{y}") for x, y in parts)
+    return {h - (1 << 64) if h >> 63 else h for h in found}
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), a < b: the pairs of ``words`` (word, n) that differ by exactly one edit, once each.
 
-    The table of gram counts has a row for each pair of the 90 letters at most and is sent to all tasks. Each word gives some 12
-    look-ups and 6 or more index rows; candidates are verified inside the join and never become rows.
+    The table of gram counts has a row for each pair of the 90 letters at most and is sent to all tasks. Each word gives some 20
+    look-ups and as many index rows; candidates are verified inside the join and never become rows.
     """
     pairs = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substring(F.col("word"), i, GRAM))
     counts = {r["gram"]: r["n"] for r in words.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
@@ -121,8 +130,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
             found: tuple[list[list[int]], list[list[int]]] = ([], [])
             for word in batch.column("word").to_pylist():
                 prefix, pivots = prefix_and_pivots(word, counts)
-                found[0].append(sorted(index_keys(word, prefix)))
-                found[1].append(sorted(pivot_keys(word, pivots)))
+                found[0].append(sorted(keys(word, prefix, pivots=False)))
+                found[1].append(sorted(keys(word, pivots, pivots=True)))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found[0], kind), pa.array(found[1], kind)], names=["word", "n", "held", "sought"])
 

@@ -94,3 +94,20 @@ def test_flushes_change_nothing(spark, monkeypatch):
     want = sorted(plain_variants(rows), key=str)
     monkeypatch.setattr(spelling, "FLUSH", 3)
     assert sorted(map(tuple, spelling.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+def test_every_near_pair_shares_a_key():
+    """All one-edit neighbours of random words: a pivot of one meets a prefix gram of the other."""
+    from assayer.llm.spelling import grams, keys, prefix_and_pivots
+
+    random = np.random.default_rng(7)
+    for size in range(6, 15):
+        for _ in range(12):
+            w = "".join(random.choice(list("abc"), size))
+            near = {w[:i] + w[i + 1 :] for i in range(size)} | {w[:i] + c + w[j:] for i in range(size + 1) for c in "abcd" for j in (i, i + 1)}
+            near = {v for v in near if len(v) >= 6} - {w}
+            counts = Counter(g for v in (near | {w}) for g in grams(v))
+            signs = {v: prefix_and_pivots(v, counts) for v in near | {w}}
+            held = {v: keys(v, signs[v][0], False) for v in signs}
+            sought = {v: keys(v, signs[v][1], True) for v in signs}
+            assert all(held[v] & sought[w] or held[w] & sought[v] for v in near)
