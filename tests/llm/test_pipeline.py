@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.test_decontaminate import substring_edits
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_kept
 from tests.llm.test_text_maps import plain_quality
 
 
@@ -50,14 +50,13 @@ def test_stages(spark, folder):
     kept = Counter(map(tuple, frames[0].collect()))
     want = [r for r in rows if not plain_quality(r[1])[-1]]
     assert kept == Counter(want)
-    group = plain_components({plain_fingerprint(r[1]) for r in want})
-    first = {}
-    for r in sorted(want, key=lambda r: (r[0] is None, r[0] or 0)):
-        first.setdefault(group[plain_fingerprint(r[1])], r)
+    texts, pairs = plain_kept([(r[0], r[1]) for r in want])  # exact similarity of five-word shingles, components, smallest doc_id
+    first = [r for r in want if (r[0], r[1]) in texts]
+    assert pairs and sum(texts.values()) == len(first)
     single = Counter(map(tuple, frames[1].collect()))
-    assert single == Counter(first.values())
+    assert single == Counter(first)
     clean = Counter(map(tuple, frames[2].collect()))
-    assert clean == Counter(r for r in first.values() if substring_edits(item, r[1].split()) > 5)
+    assert clean == Counter(r for r in first if substring_edits(item, r[1].split()) > 5)
     assert len(clean) < len(single) < len(kept)
     mixed = Counter(map(tuple, frames[3].collect()))
     assert set(mixed) <= set(clean) and max(mixed.values()) <= 2
