@@ -1,4 +1,4 @@
-"""Design matrix, linear model and logistic model, fitted on the whole table with MLlib."""
+"""Design matrix, linear model and logistic model, fitted on the whole table by orthogonal factors."""
 
 from __future__ import annotations
 
@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import pvalues as PV
 from assayer.functions.numbers import finite
 from assayer.functions.text import normalize_text
+from assayer.operators.factors import Step, independent, merged, solved, triangle
 from assayer.operators.groups import OTHER
 from assayer.operators.kernels import exact_quantiles, frequencies
 from assayer.operators.lookups import sample_rows
@@ -24,7 +22,9 @@ from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
 MIN_SPARE_ROWS = 10
-SINGULAR = 1e-10  # of a column's variation that the columns before it leave
+MAX_STEPS = 60  # passes of a logistic fit
+SMALL_STEP = 1e-8  # largest change of a row's log odds in a step of a finished fit
+SEPARATING = 1e-5  # of the furthest row's move, to the wrong side
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,6 @@ def design_matrix(
     return Design(rows.select(target, *[e.alias(n) for n, e in terms.items()]), target, tuple(terms))
 
 
-def _vectors(design: Design, frame: DataFrame) -> DataFrame:
-    plain = frame.toDF("label", *[f"x{i}" for i in range(len(design.terms))])
-    return VectorAssembler(inputCols=plain.columns[1:], outputCol="features").transform(plain).select("label", "features")
-
-
 def _limited(design: Design, max_rows: int | None, stratify: bool) -> DataFrame:
     """All rows unless the caller asks for a cap; the stratum column stays in the frame."""
     if max_rows is None:
@@ -101,7 +96,7 @@ _COEFFICIENTS = "term string, coefficient double, standard_error double, test_st
 _LINEAR = ("model_name string, target_column string, n_used long, n_terms long, r2 double, adj_r2 double, rmse double, mae double, "
            "aic double, bic double, large_sample_warning boolean, status string, skip_reason string, dropped_terms string")
 _LOGISTIC = ("model_name string, target_column string, n_used long, n_terms long, accuracy double, brier double, aic double, "
-             "large_sample_warning boolean, status string, skip_reason string")
+             "large_sample_warning boolean, status string, skip_reason string, dropped_terms string")
 
 
 def gaussian_criteria(n: int, rmse: float, k: int) -> tuple[float, float]:
@@ -110,40 +105,40 @@ def gaussian_criteria(n: int, rmse: float, k: int) -> tuple[float, float]:
     return deviance + 2 * k, deviance + k * math.log(n)
 
 
+def _plain(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (target, terms) as (constant, terms, target), with the number of rows."""
+    return np.column_stack([np.ones(len(row)), row[:, 1:], row[:, 0]]), np.array([float(len(row))]), np.zeros(1)
+
+
+def _positional(frame: DataFrame) -> DataFrame:
+    """The target as ``y`` and the terms as ``x1``, ``x2``, ...: their names need no quoting."""
+    return frame.toDF("y", *[f"x{i}" for i in range(1, len(frame.columns))])
+
+
+def _linear(coefficients: Sequence[float]) -> Column:
+    """Constant and terms of a row with these coefficients."""
+    total = F.lit(float(coefficients[0]))
+    for i, c in enumerate(coefficients[1:], 1):
+        total = total + F.lit(float(c)) * F.col(f"x{i}")
+    return total
+
+
 def dependent_terms(data: DataFrame, terms: Sequence[str]) -> list[str]:
-    """Terms that are linear combinations of the constant and the terms before them.
+    """Terms that are linear combinations of the constant and the terms before them; one pass over ``data`` (target, terms)."""
+    factor, _, _ = triangle(_positional(data), _plain, 2 + len(terms))
+    kept = independent(factor[:, :-1])
+    return [t for j, t in enumerate(terms, 1) if j not in kept]
 
-    Two passes over ``data`` (label, features): means, then centred products. The k x k matrix is swept on the driver.
-    """
-    k = len(terms)
-    values = data.select(vector_to_array("features").alias("x"))
-    means = values.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)]).first()
-    centred = values.select(*[(F.col("x")[i] - F.lit(means[i])).alias(f"c{i}") for i in range(k)])
-    sums = centred.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-    kept, dropped = [], []
-    for j in range(k):
-        rest = gram[j, j]
-        if kept:
-            inside = gram[np.ix_(kept, kept)]
-            scale = np.sqrt(np.diag(inside))
-            rest -= gram[j, kept] / scale @ np.linalg.solve(inside / np.outer(scale, scale), gram[j, kept] / scale)
-        if rest <= SINGULAR * gram[j, j]:
-            dropped.append(terms[j])
-        else:
-            kept.append(j)
-    return dropped
-
-
-def fit_linear(design: Design) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Least squares by the normal equations over all rows. Returns coefficients, diagnostics and (fitted, residual) rows.
-
-    Terms that others determine are dropped and named in the diagnostics. A perfect fit has no standard errors to divide by:
-    its test statistics and criteria are null.
+
+def fit_linear(design: Design, singular: str = "drop") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Least squares over all rows by merged orthogonal factors. Returns coefficients, diagnostics and (fitted, residual) rows.
+
+    ``singular``: "drop" leaves out terms that others determine and names them in the diagnostics; "minimum_norm" keeps all terms and
+    takes the solution of least norm, as a pseudo-inverse does. One pass makes the factor, a second the absolute error. A perfect
+    fit has no standard errors to divide by: its test statistics and criteria are null.
     """
+    if singular not in ("drop", "minimum_norm"):
+        raise ValueError("singular must be 'drop' or 'minimum_norm'")
     spark = design.frame.sparkSession
 
     def skipped(n: int, reason: str):
@@ -152,84 +147,130 @@ def fit_linear(design: Design) -> tuple[DataFrame, DataFrame, DataFrame | None]:
 
     if design.skip_reason:
         return skipped(0, design.skip_reason)
-    data = materialise(_vectors(design, design.frame))
-    n = data.count()
+    data = materialise(_positional(design.frame))
+    whole, sums, _ = triangle(data, _plain, 2 + len(design.terms))
+    n = int(sums[0]) if len(sums) else 0
     if n <= 1 + len(design.terms) + MIN_SPARE_ROWS:
         return skipped(n, "insufficient_rows_for_model")
-    dropped = dependent_terms(data, design.terms)
-    if dropped:
-        kept = [t for t in design.terms if t not in dropped]
-        if not kept:
-            return skipped(n, "singular_design")
-        design = Design(design.frame.select(design.target, *kept), design.target, tuple(kept))
-        data = materialise(_vectors(design, design.frame))
-    terms = ("const", *design.terms)
-    model = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(data)
-    summary = model.summary
-    free = n - len(terms)
+    kept = independent(whole[:, :-1])
+    dropped = [t for j, t in enumerate(design.terms, 1) if j not in kept]
+    if len(kept) < 2:
+        return skipped(n, "singular_design")
+    used = kept if singular == "drop" else list(range(1 + len(design.terms)))
+    terms = [("const", *design.terms)[j] for j in used]
+    factor = merged([whole[:, [*used, whole.shape[1] - 1]]], len(used) + 1)
+    estimates, variances, rank = solved(factor[:-1, :-1], factor[:-1, -1])
+    rest = factor[:, -1] - factor[:, :-1] @ estimates
+    lost = float(rest @ rest)
+    constant = factor[:, 0] / np.linalg.norm(factor[:, 0])
+    about_mean = factor[:, -1] - constant * (constant @ factor[:, -1])
+    total = float(about_mean @ about_mean)
+    if lost <= 1e-26 * total:
+        lost = 0.0
+    free = n - rank
     critical = PV.t_quantile(0.975, free)
-    estimates = [model.intercept, *model.coefficients.toArray().tolist()]
-    errors = list(summary.coefficientStandardErrors)
-    errors = [errors[-1], *errors[:-1]]
     rows = []
-    for term, estimate, error in zip(terms, map(float, estimates), map(float, errors), strict=True):
+    for term, estimate, error in zip(terms, map(float, estimates), map(float, np.sqrt(variances * lost / free)), strict=True):
         t = estimate / error if error > 0 else None
         p = PV.t_two_sided(t, free) if t is not None else None
         rows.append((term, estimate, error, t, p, estimate - critical * error, estimate + critical * error))
-    rmse = float(summary.rootMeanSquaredError)
-    aic, bic = gaussian_criteria(n, rmse, len(terms)) if rmse > 0 else (None, None)
-    r2 = float(summary.r2)
+    rmse = math.sqrt(lost / n)
+    aic, bic = gaussian_criteria(n, rmse, rank) if rmse > 0 else (None, None)
+    r2 = 1 - lost / total if total > 0 else None
+    every = np.zeros(1 + len(design.terms))
+    every[used] = estimates
+    fitted = data.select(_linear(every).alias("fitted"), (F.col("y") - _linear(every)).alias("residual"))
+    mae = fitted.agg(F.avg(F.abs("residual"))).first()[0]
     diagnostics = (
-        "linear_regression", design.target, n, len(terms), r2, 1 - (1 - r2) * (n - 1) / free, rmse, float(summary.meanAbsoluteError),
+        "linear_regression", design.target, n, len(terms), r2, 1 - (1 - r2) * (n - 1) / free if r2 is not None else None, rmse, mae,
         aic, bic, n >= LARGE_SAMPLE, "ok", None, ", ".join(dropped) or None,
     )
-    fitted = model.transform(data).select(F.col("prediction").alias("fitted"), (F.col("label") - F.col("prediction")).alias("residual"))
     return spark.createDataFrame(rows, _COEFFICIENTS), spark.createDataFrame([diagnostics], _LINEAR), fitted
 
 
+def _newton(coefficients: np.ndarray, direction: np.ndarray) -> Step:
+    """Rows of the weighted least squares that give the next step of a logistic fit.
+
+    Sums: rows, positives, log-likelihood, right answers at one half, squared gaps. Peaks along ``direction``: the furthest that a row
+    moves to the wrong side of its class, the furthest that any row moves.
+    """
+
+    def step(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y, x = row[:, 0], np.column_stack([np.ones(len(row)), row[:, 1:]])
+        eta = x @ coefficients
+        mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+        weight = np.maximum(mu * (1 - mu), 1e-12)
+        root = np.sqrt(weight)
+        moved = (2 * y - 1) * (x @ direction)
+        likelihood = -np.logaddexp(0, -(2 * y - 1) * eta).sum()
+        sums = np.array([len(y), y.sum(), likelihood, ((mu >= 0.5) == (y > 0.5)).sum(), ((mu - y) ** 2).sum()], float)
+        return np.column_stack([x * root[:, None], (y - mu) / root]), sums, np.array([(-moved).max(), np.abs(moved).max()])
+
+    return step
+
+
 def fit_logistic(design: Design, max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Binomial GLM. Returns coefficients with odds ratios, diagnostics, and (probability, observed) rows.
+    """Logistic fit by reweighted least squares. Returns coefficients with odds ratios, diagnostics, and (probability, observed) rows.
+
+    Each step is one pass that gives an orthogonal factor of the weighted rows. Terms that others determine are dropped and named.
+    If the fit's last step moves no row to the wrong side of its class and some to the right one, no finite coefficients are best:
+    the classes are separated, the status says so, the terms of that step are named, and there are no coefficients or odds ratios.
 
     ``max_rows``: bound of a reproducible sample, proportional by class, that the classifier is fitted on; by default all rows.
     """
     spark = design.frame.sparkSession
     terms = ("const", *design.terms)
     columns = _COEFFICIENTS + ", odds_ratio double, odds_ratio_ci_lower double, odds_ratio_ci_upper double"
+    dropped: list[str] = []
 
-    def skipped(n: int, reason: str):
-        row = ("logistic_regression", design.target, n, len(terms), None, None, None, False, "skipped", reason)
+    def without(n: int, status: str, reason: str):
+        row = ("logistic_regression", design.target, n, len(terms), None, None, None, False, status, reason, ", ".join(dropped) or None)
         return spark.createDataFrame([], columns), spark.createDataFrame([row], _LOGISTIC), None
 
     if design.skip_reason:
-        return skipped(0, design.skip_reason)
-    data = _vectors(design, _limited(design, max_rows, True)).persist()
-    try:
-        seen = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes")).first()
-        if seen["classes"] < 2:
-            return skipped(seen["n"], "target_has_single_class")
-        if seen["n"] <= len(terms) + MIN_SPARE_ROWS:
-            return skipped(seen["n"], "insufficient_rows_for_model")
-        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, regParam=0.0).fit(data)
-        summary = model.summary
-        errors = list(summary.coefficientStandardErrors)
-        errors = [errors[-1], *errors[:-1]]
-        z95 = PV.normal_quantile(0.975)
-        rows = []
-        for term, estimate, error in zip(terms, [model.intercept, *model.coefficients.toArray().tolist()], errors, strict=True):
-            estimate, error = float(estimate), float(error)
-            z, low, high = estimate / error, estimate - z95 * error, estimate + z95 * error
-            rows.append((term, estimate, error, z, PV.normal_two_sided(z), low, high, _exp(estimate), _exp(low), _exp(high)))
-        predicted = model.transform(data).select(F.col("prediction").alias("probability"), F.col("label").alias("observed"))
-        hit = (F.col("probability") >= 0.5).cast("double") == F.col("observed")
-        gap = F.col("probability") - F.col("observed")
-        quality = predicted.agg(F.avg(hit.cast("int")).alias("accuracy"), F.avg(gap * gap).alias("brier")).first()
-        diagnostics = (
-            "logistic_regression", design.target, seen["n"], len(terms), quality["accuracy"], quality["brier"], float(summary.aic),
-            seen["n"] >= LARGE_SAMPLE, "ok", None,
-        )
-        return spark.createDataFrame(rows, columns), spark.createDataFrame([diagnostics], _LOGISTIC), predicted
-    finally:
-        data.unpersist()
+        return without(0, "skipped", design.skip_reason)
+    data = materialise(_positional(_limited(design, max_rows, True)))
+    width = 1 + len(terms)
+    whole, sums, _ = triangle(data, _plain, width)
+    n = int(sums[0]) if len(sums) else 0
+    if data.agg(F.count_distinct("y")).first()[0] < 2:
+        return without(n, "skipped", "target_has_single_class")
+    if n <= len(terms) + MIN_SPARE_ROWS:
+        return without(n, "skipped", "insufficient_rows_for_model")
+    kept = independent(whole[:, :-1])
+    dropped = [terms[j] for j in range(1, len(terms)) if j not in kept]
+    data, terms, width = data.select("y", *[f"x{j}" for j in kept[1:]]), tuple(terms[j] for j in kept), 1 + len(kept)
+    data = _positional(data)
+    at, move, before = np.zeros(len(terms)), np.zeros(len(terms)), -math.inf
+    for turn in range(MAX_STEPS):
+        factor, sums, (wrong, far) = triangle(data, _newton(at, move), width)
+        if sums[2] < before - 1e-9 * abs(before) and turn:  # too far: half the step
+            move = move / 2
+            at = at - move
+            continue
+        if turn and far < SMALL_STEP:
+            break
+        if turn >= 3 and wrong <= SEPARATING * far:
+            scale = np.abs(move) * np.sqrt((factor[:-1, :-1] ** 2).sum(axis=0))
+            named = [t for t, s in zip(terms, scale, strict=True) if t != "const" and s > 1e-6 * scale.max()]
+            return without(n, "separated", "classes_separated_by: " + ", ".join(named))
+        before = sums[2]
+        move, variances, _ = solved(factor[:-1, :-1], factor[:-1, -1])
+        at = at + move
+    else:
+        return without(n, "not_converged", f"no_convergence_in_{MAX_STEPS}_steps")
+    _, variances, _ = solved(factor[:-1, :-1], factor[:-1, -1])
+    z95 = PV.normal_quantile(0.975)
+    rows = []
+    for term, estimate, error in zip(terms, map(float, at), map(float, np.sqrt(variances)), strict=True):
+        z, low, high = estimate / error if error > 0 else None, estimate - z95 * error, estimate + z95 * error
+        rows.append((term, estimate, error, z, PV.normal_two_sided(z) if z is not None else None, low, high, _exp(estimate), _exp(low), _exp(high)))
+    predicted = data.select((1 / (1 + F.exp(-_linear(at)))).alias("probability"), F.col("y").alias("observed"))
+    diagnostics = (
+        "logistic_regression", design.target, n, len(terms), float(sums[3]) / n, float(sums[4]) / n, 2 * len(terms) - 2 * float(sums[2]),
+        n >= LARGE_SAMPLE, "ok", None, ", ".join(dropped) or None,
+    )
+    return spark.createDataFrame(rows, columns), spark.createDataFrame([diagnostics], _LOGISTIC), predicted
 
 
 def _exp(x: float) -> float:

@@ -117,6 +117,75 @@ def test_logistic_model_and_skips(spark, table):
     assert M.fit_linear(M.design_matrix(df.limit(0), "v", ["x"]))[1].first()["skip_reason"] == "no_complete_cases"
 
 
+def newton(X, y):
+    beta = np.zeros(X.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-X @ beta))
+        H = X.T @ (X * (mu * (1 - mu))[:, None])
+        beta = beta + np.linalg.solve(H, X.T @ (y - mu))
+    return beta, np.sqrt(np.diag(np.linalg.inv(H)))
+
+
+def test_logistic_model_with_dependent_terms(spark):
+    """Score parts and flags that determine each other: the later term goes, the others equal Newton's method."""
+    rng = np.random.default_rng(31)
+    n = 700
+    a, flag = rng.normal(0, 1, n), rng.random(n) < 0.3
+    hit = rng.random(n) < 1 / (1 + np.exp(-(0.4 + 1.2 * a - 0.8 * flag)))
+    rows = [(int(h), float(x), float(2 * x), int(f), float(x + f)) for h, x, f in zip(hit, a, flag, strict=True)]
+    df = spark.createDataFrame(rows, "hit int, a double, b double, flag int, c double").repartition(5)
+    coefficients, diagnostics, predicted = M.fit_logistic(M.design_matrix(df, "hit", ["a", "b", "c"], ["flag"]))
+    row = diagnostics.first()
+    assert row["status"] == "ok" and row["dropped_terms"] == "b, flag"
+    X, y = np.column_stack([np.ones(n), a, a + flag]), hit.astype(float)
+    beta, error = newton(X, y)
+    found = coefficients.collect()
+    assert [r["term"] for r in found] == ["const", "a", "c"]
+    assert [r["coefficient"] for r in found] == pytest.approx(beta.tolist(), rel=1e-8)
+    assert [r["standard_error"] for r in found] == pytest.approx(error.tolist(), rel=1e-8)
+    mu = 1 / (1 + np.exp(-X @ beta))
+    assert row["brier"] == pytest.approx(((mu - y) ** 2).mean()) and row["accuracy"] == pytest.approx(((mu >= 0.5) == hit).mean())
+    assert row["aic"] == pytest.approx(6 - 2 * np.log(np.where(hit, mu, 1 - mu)).sum())
+    assert predicted.agg(F.sum("probability")).first()[0] == pytest.approx(y.sum())
+
+
+@pytest.mark.parametrize("kind", ["complete", "quasi", "level"])
+def test_separated_classes(spark, kind):
+    """Classes that a term tells apart, wholly or up to ties on the border, have a status and no coefficients."""
+    rng = np.random.default_rng(32)
+    rows = []
+    for k in range(400):
+        x, noise = float(rng.normal()), float(rng.normal())
+        hit = x > 0 if kind == "complete" else (x > 0 if abs(x) > 0.5 else k % 2 == 0)
+        x = x if kind == "complete" or abs(x) > 0.5 else 0.0
+        level = float(k % 10 == 0)
+        rows.append((int(level or k % 3 == 0), level, noise) if kind == "level" else (int(hit), x, noise))
+    design = M.design_matrix(spark.createDataFrame(rows, "hit int, x double, noise double"), "hit", ["x", "noise"])
+    coefficients, diagnostics, _ = M.fit_logistic(design)
+    row = diagnostics.first()
+    assert row["status"] == "separated" and "x" in row["skip_reason"] and coefficients.count() == 0
+
+
+def test_badly_scaled_and_singular_least_squares(spark):
+    rng = np.random.default_rng(33)
+    n = 500
+    a, b, c = rng.normal(0, 1, (3, n))
+    X = np.column_stack([np.ones(n), 1e6 + a, 1e-6 * b, 1e6 * a + c])
+    y = X @ np.array([3.0, 2.0, 4e5, 1e-3]) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([tuple(map(float, (t, *r[1:]))) for t, r in zip(y, X, strict=True)], "y double, p double, q double, r double").repartition(7)
+    coefficients, diagnostics, _ = M.fit_linear(M.design_matrix(df, "y", ["p", "q", "r"]))
+    scale = np.linalg.norm(X, axis=0)
+    want = np.linalg.lstsq(X / scale, y, rcond=None)[0] / scale
+    fitted = X @ np.array([r["coefficient"] for r in coefficients.collect()])
+    assert np.abs(fitted - X @ want).max() <= 1e-8 * np.abs(y).max() and diagnostics.first()["dropped_terms"] is None
+    double = df.select("y", "q", (F.col("q") * 2).alias("twice"), F.col("p"))
+    design = M.design_matrix(double, "y", ["q", "twice", "p"])
+    kept = M.fit_linear(design)
+    assert kept[1].first()["dropped_terms"] == "twice" and kept[0].count() == 3
+    least = {r["term"]: r["coefficient"] for r in M.fit_linear(design, "minimum_norm")[0].collect()}
+    assert least["twice"] == pytest.approx(2 * least["q"], rel=1e-6)
+
+
 def test_inference_plan(spark, table):
     from assayer import Spec
     from assayer.plans.infer import Analysis, infer
