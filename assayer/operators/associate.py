@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayer.functions import pvalues as PV
 from assayer.functions.numbers import finite
 from assayer.operators.groups import OTHER, collapsed_levels, group_label, pair_name
-from assayer.operators.kernels import attach_by_value, value_ranks
+from assayer.operators.kernels import SMALL_SIDE_ROWS, attach_by_value, running_counts
 from assayer.session import materialise
 from assayer.spec import LARGE_SAMPLE
 
@@ -163,38 +163,56 @@ def top_correlations(df: DataFrame, columns: Sequence[str], k: int, exclude: Ite
     return found.orderBy(F.desc(F.abs("pearson_r")), "left_column", "right_column").limit(k)
 
 
+def rank_index(numbers: DataFrame, columns: Sequence[str], range_rows: int | None = None) -> DataFrame:
+    """(column, value, ranks, n): for each value of a column its average ranks, one for each column as partner, and its rows.
+
+    ``ranks[j]`` is taken among the rows in which column j is present too. Counts for all partners lie side by side, so one ordering
+    of a column's values serves all of its pairs.
+    """
+    there = [F.col(c).isNotNull().alias(f"m{j}") for j, c in enumerate(columns)]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    long = numbers.select(*there, F.inline(cells)).filter(F.col("value").isNotNull())
+    names = [f"n{j}" for j in range(len(columns))]
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"m{j}").alias(n) for j, n in enumerate(names)])
+    placed = running_counts(counts, ["column"], names, **({"range_rows": range_rows} if range_rows else {}))
+    ranks = F.array(*[F.col(f"below_{n}") + (F.col(n) + 1) / F.lit(2.0) for n in names])
+    return materialise(placed.select("column", "value", "n", ranks.alias("ranks"), *names))
+
+
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], min_complete: int = MIN_COMPLETE, range_rows: int | None = None) -> DataFrame:
     """Spearman rho: Pearson on average ranks taken within each pair's complete cases.
 
-    Rows are reduced to (pair, x, y, n) first. Rank tables come from the value
-    counts of each side and are joined back with hot values kept apart.
+    Ranks come from one index of (column, value) and are joined to the rows column by column: broadcast where a column has few
+    values, else by a shuffle in which hot values are kept apart and nulls do not take part. One aggregate then has the sums of all pairs.
     """
-    cells = [
-        F.struct(F.lit(pair_name(a, b)).alias("pair"), finite(F.col(a)).alias("x"), finite(F.col(b)).alias("y")) for a, b in pairs
-    ]
-    long = df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    points = materialise(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-    totals = points.groupBy("pair").agg(F.sum("w").alias("total"))
-    options = {"range_rows": range_rows} if range_rows else {}
-
-    def with_rank(rows: DataFrame, side: str) -> DataFrame:
-        counts = points.groupBy("pair", F.col(side).alias("value")).agg(F.sum("w").alias("n"))
-        ranks = value_ranks(counts, ["pair"], **options).join(F.broadcast(totals), "pair").withColumnRenamed("value", side)
-        return attach_by_value(rows, ranks, ["pair"], side).withColumnRenamed("avg_rank", f"r{side}")
-
-    ranked = with_rank(with_rank(points, "x"), "y").join(F.broadcast(totals), "pair")
-    middle = (F.col("total") + 1) / F.lit(2.0)
-    dx, dy = F.col("rx") - middle, F.col("ry") - middle
-    sums = ranked.groupBy("pair").agg(
-        F.sum("w").alias("n_used"), F.sum(F.col("w") * dx * dy).alias("xy"), F.sum(F.col("w") * dx * dx).alias("xx"), F.sum(F.col("w") * dy * dy).alias("yy")
-    )
-    listed = df.sparkSession.createDataFrame([(pair_name(a, b), a, b) for a, b in pairs], "pair string, left_column string, right_column string")
-    joined = listed.join(F.broadcast(sums), "pair", "left")
+    columns = sorted({c for p in pairs for c in p})
+    numbers = materialise(df.select(*[finite(F.col(c)).alias(c) for c in columns]).toDF(*[f"v{j}" for j in range(len(columns))]))
+    names = numbers.columns
+    index = rank_index(numbers, names, range_rows)
+    # one row for each column
+    seen = {r["column"]: r for r in index.groupBy("column").agg(F.count(F.lit(1)).alias("values"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(names))]).collect()}
+    rows = numbers
+    for j, c in enumerate(names):
+        side = index.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("ranks").alias("avg_rank"), "n", F.lit(seen[c][f"n{j}"] if c in seen else 0).alias("total"))
+        if c not in seen or seen[c]["values"] <= SMALL_SIDE_ROWS:
+            rows = rows.join(F.broadcast(side.select(c, "avg_rank")), c, "left")
+        else:
+            found = attach_by_value(rows.filter(F.col(c).isNotNull()), side, [], c)
+            rows = materialise(found.unionByName(rows.filter(F.col(c).isNull()), allowMissingColumns=True))
+        rows = rows.withColumnRenamed("avg_rank", f"r{j}")
+    at = {c: j for j, c in enumerate(columns)}
+    aggregates, lines = [], []
+    for k, (a, b) in enumerate(pairs):
+        i, j = at[a], at[b]
+        n = seen[names[i]][f"n{j}"] if names[i] in seen else 0
+        both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
+        dx, dy = (F.when(both, F.col(f"r{x}")[y] - F.lit((n + 1) / 2.0)) for x, y in ((i, j), (j, i)))
+        aggregates += [F.sum(dx * dy).alias(f"xy{k}"), F.sum(dx * dx).alias(f"xx{k}"), F.sum(dy * dy).alias(f"yy{k}")]
+        lines.append(F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.lit(n).cast("long").alias("n_used"), *[F.col(f"{s}{k}").alias(s) for s in ("xy", "xx", "yy")]))
+    sums = rows.agg(*aggregates).select(F.inline(F.array(*lines)))
     spread = F.sqrt(F.col("xx") * F.col("yy"))
     enough = (F.col("n_used") >= min_complete) & (spread > 0)
-    return joined.select(
-        "left_column", "right_column", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.when(enough, F.col("xy") / spread).alias("spearman_rho")
-    )
+    return sums.select("left_column", "right_column", "n_used", F.when(enough, F.col("xy") / spread).alias("spearman_rho"))
 
 
 def correlation_p(r: Column, n: Column) -> Column:

@@ -9,6 +9,7 @@ per level. Levels are bounded by ``top_n + 1``, pairs by the caller's list.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import pandas as pd
@@ -124,9 +125,9 @@ def level_pairs(table: DataFrame) -> DataFrame:
     return left.join(F.broadcast(right), "pair").filter(F.col("a_level") < F.col("b_level"))
 
 
-def welch(frame: DataFrame) -> DataFrame:
+def welch(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Welch t for every two levels of each pair, with Cohen's d; the first level is the alphabetically first."""
-    both = level_pairs(moments(frame))
+    both = level_pairs((shared.levels if shared else moments(frame)).select("pair", "level", "n", "mean", "var"))
     va, vb = F.col("a_var") / F.col("a_n"), F.col("b_var") / F.col("b_n")
     gap = F.col("a_mean") - F.col("b_mean")
     pooled = ((F.col("a_n") - 1) * F.col("a_var") + (F.col("b_n") - 1) * F.col("b_var")) / (F.col("a_n") + F.col("b_n") - 2)
@@ -158,19 +159,32 @@ def _anova(levels: DataFrame) -> DataFrame:
     )
 
 
-def anova(frame: DataFrame) -> DataFrame:
-    return _anova(moments(frame))
+def anova(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
+    return _anova(shared.levels if shared else moments(frame))
 
 
-def levene(frame: DataFrame) -> DataFrame:
-    """Spread test centred on the median: one-way ANOVA of absolute distances to the group median."""
-    medians = exact_medians(frame, ["value"], ["pair", "level"], few_keys=True).select("pair", "level", "median")
-    spread = frame.join(F.broadcast(medians), ["pair", "level"]).select("pair", "level", F.abs(F.col("value") - F.col("median")).alias("value"))
-    return _anova(moments(spread)).withColumnRenamed("f", "w").drop("eta_squared")
-
+def levene(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
+    """Spread test centred on the median: one-way ANOVA of absolute distances to the group median.
 
-def group_stats(frame: DataFrame) -> DataFrame:
+    With ``shared`` the distances' squares follow from each level's moments and median and no rows are read; alone, a search for the
+    medians is cheaper than ranks.
+    """
+    if not shared:
+        medians = exact_medians(frame, ["value"], ["pair", "level"], few_keys=True).select("pair", "level", "median")
+        spread = frame.join(F.broadcast(medians), ["pair", "level"]).select("pair", "level", F.abs(F.col("value") - F.col("median")).alias("value"))
+        return _anova(moments(spread)).withColumnRenamed("f", "w").drop("eta_squared")
+    levels = shared.levels
+    n, shift = F.col("n"), F.col("mean") - F.col("median")
+    squares = (n - 1) * F.col("var") + n * shift * shift
+    mean = F.col("distance") / n
+    spread = levels.select("pair", "level", "n", mean.alias("mean"), F.when(n > 1, F.greatest(F.lit(0.0), squares - n * mean * mean) / (n - 1)).otherwise(0.0).alias("var"))
+    return _anova(spread).withColumnRenamed("f", "w").drop("eta_squared")
+
+
+def group_stats(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
     """n, mean, median, std, min, max of each level."""
+    if shared:
+        return shared.levels.select("pair", "level", "n", "mean", F.sqrt("var").alias("std"), "min", "max", "median")
     base = frame.groupBy("pair", "level").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
@@ -182,22 +196,86 @@ def group_stats(frame: DataFrame) -> DataFrame:
 # -- ranks ------------------------------------------------------------------
 
 
-def ordered_counts(frame: DataFrame, max_levels: int, range_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Counts per (pair, value) with one column per level, and running counts below each value.
+@dataclass(frozen=True)
+class Shared:
+    """What the tests of one group frame share, both written and of a few rows for each pair.
 
-    Returns that table and the (pair, level, position) legend. A value shared by
-    very many rows is a single row here.
+    ``levels``: pair, level, position, n, mean, var, min, max, median and distance, the sum of absolute distances to the median.
+    ``sums``: for each pair what rank tests need of its running counts.
     """
-    legend = frame.groupBy("pair", "level").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "position", F.row_number().over(Window.partitionBy("pair").orderBy("level")) - 1
-    )
+
+    levels: DataFrame
+    sums: DataFrame
+    width: int
+
+
+def _legend(frame: DataFrame, max_levels: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("level")) - 1  # at most max_levels rows a pair
+    legend = materialise(frame.groupBy("pair", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("var"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    ).withColumn("position", place))
     found = (legend.agg(F.max("position")).first()[0] or 0) + 1
     if found > max_levels:
         raise ValueError(f"the frame has {found} levels in a pair, {max_levels} are provided for")
+    return legend
+
+
+def _value_counts(frame: DataFrame, legend: DataFrame, width: int) -> DataFrame:
+    """Rows per (pair, value), one column for each level; a value shared by very many rows is a single row."""
     placed = frame.join(F.broadcast(legend.select("pair", "level", "position")), ["pair", "level"])
-    names = [f"c{i}" for i in range(max_levels)]
-    wide = placed.groupBy("pair", "value").agg(*[F.count_if(F.col("position") == i).alias(c) for i, c in enumerate(names)])
-    return running_counts(wide, ["pair"], names, **({"range_rows": range_rows} if range_rows else {})), legend
+    return materialise(placed.groupBy("pair", "value").agg(*[F.count_if(F.col("position") == i).alias(f"c{i}") for i in range(width)]))
+
+
+def _running(counts: DataFrame, width: int, range_rows: int | None) -> DataFrame:
+    return running_counts(counts, ["pair"], [f"c{i}" for i in range(width)], written=True, **({"range_rows": range_rows} if range_rows else {}))
+
+
+def _kruskal_sums(width: int) -> list[Column]:
+    tied = sum((F.col(f"c{i}") for i in range(1, width)), F.col("c0"))
+    below = sum((F.col(f"below_c{i}") for i in range(1, width)), F.col("below_c0"))
+    rank = below + (tied + 1) / F.lit(2.0)
+    return [
+        F.sum(tied).alias("n"), F.sum(_cube(tied)).alias("ties"),
+        *[F.sum(f"c{i}").alias(f"n{i}") for i in range(width)], *[F.sum(F.col(f"c{i}") * rank).alias(f"r{i}") for i in range(width)],
+    ]
+
+
+def _u_sums(combos: Sequence[tuple[int, int]]) -> list[Column]:
+    return [
+        part
+        for i, j in combos
+        for part in (
+            F.sum(F.col(f"c{i}") * (F.col(f"below_c{j}") + F.col(f"c{j}") / F.lit(2.0))).alias(f"u_{i}_{j}"),
+            F.sum(_cube(F.col(f"c{i}") + F.col(f"c{j}"))).alias(f"t_{i}_{j}"),
+        )
+    ]
+
+
+def shared_ranks(frame: DataFrame, max_levels: int = 9, range_rows: int | None = None) -> Shared:
+    """Moments, medians, distances and rank sums of all levels from one table of counts per value.
+
+    The rows are read twice, for moments and for counts. Running counts over the counts give rank sums and, where they pass the
+    middle ranks, medians; a second look at the counts gives the distances to the medians.
+    """
+    legend = _legend(frame, max_levels)
+    counts = _value_counts(frame, legend, max_levels)
+    span = range(max_levels)
+    sizes = legend.groupBy("pair").agg(*[F.max(F.when(F.col("position") == i, F.col("n"))).alias(f"size{i}") for i in span])
+
+    def at(i: int, rank: Column) -> Column:
+        return F.max(F.when((F.col(f"below_c{i}") <= rank) & (rank < F.col(f"below_c{i}") + F.col(f"c{i}")), F.col("value")))
+
+    middles = [m for i in span for m in (at(i, F.floor((F.col(f"size{i}") - 1) / 2)).alias(f"a{i}"), at(i, F.floor(F.col(f"size{i}") / 2)).alias(f"b{i}"))]
+    combos = [(0, 1)] if max_levels > 1 else []
+    running = _running(counts, max_levels, range_rows).join(F.broadcast(sizes), "pair")
+    sums = materialise(running.groupBy("pair").agg(*_kruskal_sums(max_levels), *_u_sums(combos), *middles))
+    median = [(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * 0.5).alias(f"m{i}") for i in span]
+    middle = sums.select("pair", *median)
+    far = counts.join(F.broadcast(middle), "pair").groupBy("pair").agg(*[F.sum(F.col(f"c{i}") * F.abs(F.col("value") - F.col(f"m{i}"))).alias(f"d{i}") for i in span])
+    told = middle.join(F.broadcast(far), "pair").select(
+        "pair", F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"m{i}").alias("median"), F.col(f"d{i}").alias("distance")) for i in span])))
+    return Shared(materialise(legend.join(F.broadcast(told), ["pair", "position"])), sums, max_levels)
 
 
 def _cube(t: Column) -> Column:
@@ -205,17 +283,14 @@ def _cube(t: Column) -> Column:
     return t * t * t - t
 
 
-def kruskal(frame: DataFrame, top_n: int = 8, range_rows: int | None = None) -> DataFrame:
+def kruskal(frame: DataFrame, top_n: int = 8, range_rows: int | None = None, shared: Shared | None = None) -> DataFrame:
     """Kruskal-Wallis H with tie correction and epsilon squared."""
-    levels = top_n + 1
-    ordered, _ = ordered_counts(frame, levels, range_rows)
-    tied = sum((F.col(f"c{i}") for i in range(1, levels)), F.col("c0"))
-    below = sum((F.col(f"below_c{i}") for i in range(1, levels)), F.col("below_c0"))
-    rank = below + (tied + 1) / F.lit(2.0)
-    sums = ordered.withColumns({"rank": rank, "tied": tied}).groupBy("pair").agg(
-        F.sum("tied").alias("n"), F.sum(_cube(F.col("tied"))).alias("ties"),
-        *[F.sum(f"c{i}").alias(f"n{i}") for i in range(levels)], *[F.sum(F.col(f"c{i}") * F.col("rank")).alias(f"r{i}") for i in range(levels)],
-    )
+    levels = shared.width if shared else top_n + 1
+    if shared:
+        sums = shared.sums
+    else:
+        counts = _value_counts(frame, _legend(frame, levels), levels)
+        sums = _running(counts, levels, range_rows).groupBy("pair").agg(*_kruskal_sums(levels))
     squared, groups = F.lit(0.0), F.lit(0)
     for i in range(levels):
         squared = squared + F.when(F.col(f"n{i}") > 0, F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"n{i}")).otherwise(0.0)
@@ -241,16 +316,14 @@ def mann_whitney(frame: DataFrame, max_levels: int = 2, range_rows: int | None =
     Only pairs of at most ``max_levels`` levels are compared; ``too_many_levels`` lists the others.
     """
     sizes = frame.groupBy("pair").agg(F.count_distinct("level").alias("k")).filter(F.col("k") <= max_levels)
-    ordered, legend = ordered_counts(frame.join(F.broadcast(sizes.select("pair")), "pair", "left_semi"), max_levels, range_rows)
+    fit = frame.join(F.broadcast(sizes.select("pair")), "pair", "left_semi")
     combos = list(combinations(range(max_levels), 2))
-    sums = ordered.groupBy("pair").agg(*[
-        part
-        for i, j in combos
-        for part in (
-            F.sum(F.col(f"c{i}") * (F.col(f"below_c{j}") + F.col(f"c{j}") / F.lit(2.0))).alias(f"u_{i}_{j}"),
-            F.sum(_cube(F.col(f"c{i}") + F.col(f"c{j}"))).alias(f"t_{i}_{j}"),
-        )
-    ])
+    legend = _legend(fit, max_levels)
+    sums = _running(_value_counts(fit, legend, max_levels), max_levels, range_rows).groupBy("pair").agg(*_u_sums(combos))
+    return _mann_whitney(sums, legend, combos)
+
+
+def _mann_whitney(sums: DataFrame, legend: DataFrame, combos: Sequence[tuple[int, int]]) -> DataFrame:
     rows = sums.select("pair", F.inline(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"u_{i}_{j}").alias("u"), F.col(f"t_{i}_{j}").alias("ties")) for i, j in combos
     ])))
@@ -314,12 +387,12 @@ def shapiro(frame: DataFrame) -> DataFrame:
     return held.groupBy("pair", "level").applyInPandas(test, columns).unionByName(beyond)
 
 
-def assumptions(frame: DataFrame) -> DataFrame:
+def assumptions(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Normality (all rows) and equal spread per pair, and whether a parametric test is advised."""
     normal = normality(frame).groupBy("pair").agg(
         F.min("p_value").alias("normality_p_min"), F.every(F.col("p_value") >= 0.05).alias("all_groups_normal")
     )
-    spread = levene(frame).withColumn("homoscedasticity_p", PV.p_f("w", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+    spread = levene(frame, shared).withColumn("homoscedasticity_p", PV.p_f("w", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
     joined = spread.join(F.broadcast(normal), "pair", "left")
     equal = F.coalesce(F.col("homoscedasticity_p") >= 0.05, F.lit(False))
     normal_ok = F.coalesce("all_groups_normal", F.lit(False))
@@ -334,18 +407,22 @@ def _double(*names: str) -> list[Column]:
     return [F.col(n).cast("double") for n in names]
 
 
-def compare(frame: DataFrame, assumed: DataFrame, top_n: int = 8) -> DataFrame:
-    """The test each pair calls for: Welch or Mann-Whitney for two groups, ANOVA or Kruskal-Wallis for more."""
-    t = welch(frame).select("pair", "t", "df", F.col("cohens_d")).withColumn("t_p", PV.p_t("t", "df"))
+def compare(frame: DataFrame, assumed: DataFrame, top_n: int = 8, shared: Shared | None = None) -> DataFrame:
+    """The test each pair calls for: Welch or Mann-Whitney for two groups, ANOVA or Kruskal-Wallis for more.
+
+    All statistics come from the ``shared`` table of the frame; ``assumed`` is written once, as several steps read it.
+    """
+    shared = shared or shared_ranks(frame, top_n + 1)
+    assumed = materialise(assumed)
+    t = welch(frame, shared).select("pair", "t", "df", F.col("cohens_d")).withColumn("t_p", PV.p_t("t", "df"))
     two = F.broadcast(assumed.filter("n_groups = 2").select("pair"))
     t = t.join(two, "pair", "left_semi")
-    pair = frame.join(two, "pair", "left_semi")
-    several = frame.join(F.broadcast(assumed.filter("n_groups > 2").select("pair")), "pair", "left_semi")
-    u = mann_whitney(pair, 2).select("pair", "u", "rank_biserial", "z").withColumn("u_p", F.least(F.lit(1.0), PV.p_normal("z"))).drop("z")
-    f = anova(frame).select("pair", "f", "eta_squared", "df_between", "df_within").withColumn(
+    pairs = _mann_whitney(shared.sums.join(two, "pair", "left_semi"), shared.levels, [(0, 1)])
+    u = pairs.select("pair", "u", "rank_biserial", "z").withColumn("u_p", F.least(F.lit(1.0), PV.p_normal("z"))).drop("z")
+    f = anova(frame, shared).select("pair", "f", "eta_squared", "df_between", "df_within").withColumn(
         "f_p", PV.p_f("f", *_double("df_between", "df_within"))
     ).drop("df_between", "df_within")
-    h = kruskal(several, top_n).select("pair", "h", "epsilon_squared", F.col("df").alias("h_df")).withColumn(
+    h = kruskal(frame, top_n, shared=shared).join(F.broadcast(assumed.filter("n_groups > 2").select("pair")), "pair", "left_semi").select("pair", "h", "epsilon_squared", F.col("df").alias("h_df")).withColumn(
         "h_p", PV.p_chi2("h", F.col("h_df").cast("double"))
     ).drop("h_df")
     joined = assumed
@@ -387,8 +464,8 @@ def posthoc(frame: DataFrame, parametric: DataFrame | None = None, compared: Dat
     return holm(rows, "raw_p_value", ["pair"], ["left_group", "right_group"])
 
 
-def described(frame: DataFrame) -> DataFrame:
+def described(frame: DataFrame, shared: Shared | None = None) -> DataFrame:
     """Group statistics of each pair as one JSON list (at most top_n + 1 entries)."""
-    stats = group_stats(frame)
+    stats = group_stats(frame, shared)
     entry = F.struct("level", "n", "mean", "median", "std", "min", "max")
     return stats.groupBy("pair").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("descriptive_stats"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from assayer.session import materialise
 
 SMALL_SIDE_ROWS = 200_000
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000  # distinct values that one range orders
 ORDERED_ROWS = 100_000  # rows that one value range may leave to be ordered
 GRID = 500  # cut points of a range in one narrowing
 MARGIN = 2  # of them, kept on either side: many times the sketch's error
@@ -228,16 +228,17 @@ def exact_medians(df: DataFrame, columns, keys: Sequence[str] = (), accuracy: in
 
 
 def running_counts(
-    counts: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str = "value", range_rows: int = RANGE_ROWS
+    counts: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str = "value", range_rows: int = RANGE_ROWS, written: bool = False
 ) -> DataFrame:
     """Add ``below_<c>`` for each count column: the rows with a smaller value of the same key.
 
     Long tables are dealt to range partitions of (key, value), about ``range_rows`` distinct values each, so one key may take
     many partitions. They are written with their partition numbers; the running count is taken inside each (key, partition)
-    and shifted by the totals of the key's partitions before it, which are joined, not sent to the driver.
+    and shifted by the totals of the key's partitions before it, which are joined, not sent to the driver. ``written`` says that
+    ``counts`` is a written table already.
     """
     by = list(keys)
-    counts = materialise(counts)
+    counts = counts if written else materialise(counts)
     pieces = int(counts.count() // range_rows) + 1
 
     def running(over: Sequence[str]) -> dict[str, Column]:

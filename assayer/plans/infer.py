@@ -79,12 +79,13 @@ def infer(df: DataFrame, spec: Spec, analysis: Analysis) -> dict[str, DataFrame]
         pairs = list(product(outcomes, grouping))
         frame = groups.group_frame(rows, pairs, a.top_n, a.min_size)
         usable = materialise(groups.skip_reasons(rows, pairs, a.top_n, a.min_size))
-        assumed = materialise(groups.assumptions(frame))
-        compared = materialise(groups.compare(frame, assumed, a.top_n))
+        shared = groups.shared_ranks(frame, a.top_n + 1)
+        assumed = materialise(groups.assumptions(frame, shared))
+        compared = materialise(groups.compare(frame, assumed, a.top_n, shared))
         listed = usable.select("pair", "outcome_column", "group_column", "status", "skip_reason")
         results |= {
             "group_eligibility": usable, "assumptions": listed.select("pair", "status", "skip_reason").join(assumed, "pair", "left"),
-            "group_comparisons": listed.join(compared, "pair", "left").join(groups.described(frame), "pair", "left"),
+            "group_comparisons": listed.join(compared, "pair", "left").join(groups.described(frame, shared), "pair", "left"),
             "posthoc": groups.posthoc(frame, assumed, compared), "posthoc_skipped": groups.too_many_levels(frame),
         }
         seen["group_comparison"] = (usable, "pair", "n_used")

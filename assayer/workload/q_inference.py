@@ -254,7 +254,8 @@ def _(spark, sf):
 @query("group_comparisons")
 def _(spark, sf):
     rows = frame(spark, sf, PAIRS)
-    return G.compare(rows, G.assumptions(rows)).join(G.described(rows), "pair", "left")
+    shared = G.shared_ranks(rows)
+    return G.compare(rows, G.assumptions(rows, shared), shared=shared).join(G.described(rows, shared), "pair", "left")
 
 
 @query("holm_adjust", with_p("""

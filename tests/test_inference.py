@@ -93,6 +93,43 @@ def test_spearman_with_ties_and_hot_value(spark):
     assert rho == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], rel=1e-10)
 
 
+def test_spearman_index_with_nulls(spark, monkeypatch):
+    """Three columns with different gaps: each pair has ranks of its own complete rows, by broadcast and by shuffle."""
+    rng = np.random.default_rng(10)
+    table = rng.integers(0, 40, (500, 3)).astype(float)
+    table[rng.random((500, 3)) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in table], "x double, y double, z double")
+    pairs = [("x", "y"), ("z", "x"), ("y", "z")]
+    for few in (200_000, 5):
+        monkeypatch.setattr(S, "SMALL_SIDE_ROWS", few)
+        for row in S.spearman(df, pairs, range_rows=30).collect():
+            a, b = (table[:, "xyz".index(row[c])] for c in ("left_column", "right_column"))
+            both = ~np.isnan(a) & ~np.isnan(b)
+            assert row["n_used"] == both.sum()
+            assert row["spearman_rho"] == pytest.approx(np.corrcoef(ranks(a[both]), ranks(b[both]))[0, 1], rel=1e-10)
+    assert S.spearman(df.limit(0), pairs).collect() == [("x", "y", 0, None), ("z", "x", 0, None), ("y", "z", 0, None)]
+
+
+def test_shared_ranks_equal_the_tests_of_their_own(spark, table):
+    """Levene, Kruskal-Wallis, statistics and Mann-Whitney from the shared table equal those from the rows."""
+    _, df = table
+    frame = G.group_frame(df, [("v", "g"), ("x", "flag")])
+    shared = G.shared_ranks(frame, range_rows=7)
+
+    def same(a, b, on):
+        left, right = ({tuple(r[c] for c in on): r.asDict() for r in t.collect()} for t in (a, b))
+        assert left.keys() == right.keys() and left
+        for k, row in left.items():
+            for c, v in row.items():
+                assert right[k][c] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v)
+
+    same(G.levene(frame), G.levene(frame, shared), ["pair"])
+    same(G.kruskal(frame), G.kruskal(frame, shared=shared), ["pair"])
+    same(G.group_stats(frame), G.group_stats(frame, shared), ["pair", "level"])
+    same(G.welch(frame), G.welch(frame, shared), ["pair", "left_group", "right_group"])
+    same(G.mann_whitney(frame, 2), G._mann_whitney(shared.sums.filter("pair = 'x|flag'"), shared.levels, [(0, 1)]), ["pair"])
+
+
 def test_linear_model_equals_least_squares(spark, table):
     rows, df = table
     design = M.design_matrix(df, "v", ["x"], ["flag"], ["g"])
