@@ -7,6 +7,7 @@ so a group holding a third of the table reaches its reducer as a few rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,22 +59,25 @@ def drop_logical(
 def duplicate_summary(df: DataFrame, keys: Sequence[Sequence[str]], null_keys: bool = True) -> DataFrame:
     """Rows in repeated keys, number of repeated keys and their share, one row per key set.
 
-    ``null_keys`` counts a null as a key value; without it rows with a null key are left out.
+    ``null_keys`` counts a null as a key value; without it rows with a null key are left out. All key sets are grouping sets of one
+    scan; the grouping id tells their groups apart, also a null that was there from one of a column that a set leaves out.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    parts = []
-    for key in keys:
-        rows = df if null_keys else df.dropna(how="any", subset=list(key))
-        groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        parts.append(groups.agg(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("duplicate_rows"), F.count(F.lit(1)).alias("duplicate_keys")
-        ).withColumn("key_columns", F.lit(", ".join(key))))
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    return united.select(
-        "key_columns", "duplicate_rows", "duplicate_keys",
-        F.coalesce(F.round(F.col("duplicate_rows") * F.lit(100.0) / total, 4), F.lit(0.0)).alias("duplicate_pct"),
+    columns = sorted({c for key in keys for c in key})
+    sets = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key): sorted(set(key)) for key in keys}
+    groups = df.groupingSets([[F.col(c) for c in own] for own in sets.values()], *[F.col(c) for c in columns]).agg(
+        F.count(F.lit(1)).alias("c"), F.grouping_id().alias("id"))
+    blank = F.lit(False)
+    for number, own in sets.items() if not null_keys else ():
+        blank = F.when(F.col("id") == number, reduce(lambda a, b: a | b, [F.col(c).isNull() for c in own])).otherwise(blank)
+    repeated = (F.col("c") > 1) & ~blank
+    found = groups.groupBy("id").agg(
+        F.sum("c").alias("total"), F.sum(F.when(repeated, F.col("c"))).alias("duplicate_rows"), F.count_if(repeated).alias("duplicate_keys"))
+    listed = df.sparkSession.createDataFrame(
+        [(sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key), ", ".join(key)) for key in keys], "id long, key_columns string")
+    rows, zero = F.coalesce("duplicate_rows", F.lit(0)), F.lit(0).cast("long")
+    return listed.join(F.broadcast(found), "id", "left").select(
+        "key_columns", rows.alias("duplicate_rows"), F.coalesce("duplicate_keys", zero).alias("duplicate_keys"),
+        F.coalesce(F.round(rows * F.lit(100.0) / F.col("total"), 4), F.lit(0.0)).alias("duplicate_pct"),
     )
 
 

@@ -258,6 +258,22 @@ def running_counts(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add the place of each row in an order, from 1. Long tables are numbered by ranges of about ``range_rows`` rows and shifted."""
+    df = materialise(df)
+    pieces = int(df.count() // range_rows) + 1
+    if pieces == 1:
+        ranged = df.withColumn("__range", F.lit(0))
+    else:
+        ranged = materialise(df.repartitionByRange(pieces, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = totals.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    shifted = ranged.withColumn("__place", place).join(offsets, "__range")
+    return shifted.withColumn(name, (F.col("__place") + F.col("__before")).cast("int")).drop("__range", "__place", "__before")
+
+
 def value_ranks(
     counts: DataFrame, keys: Sequence[str], value: str = "value", count: str = "n", range_rows: int = RANGE_ROWS
 ) -> DataFrame:

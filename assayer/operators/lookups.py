@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.operators.kernels import null_safe_join, sized_side, value_ranks
+from assayer.operators.kernels import null_safe_join, numbered, sized_side, value_ranks
 from assayer.operators.profile import _top
 from assayer.session import materialise
 
@@ -79,9 +79,9 @@ def average_ranks(df: DataFrame, value: str, range_rows: int | None = None) -> D
 
 
 def first_per_group(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
-    """First row of each group with the group's place. Meant for result tables."""
+    """First row of each group with the group's place in the order of the groups."""
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.filter("__r = 1").drop("__r").withColumn("rank", F.row_number().over(Window.orderBy(group)))
+    return numbered(ranked.filter("__r = 1").drop("__r"), [group])
 
 
 MARK_DIGITS = 15

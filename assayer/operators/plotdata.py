@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.numbers import finite
-from assayer.operators.kernels import exact_quantiles, null_safe_join, sized_side
+from assayer.operators.kernels import exact_quantiles, null_safe_join, numbered, sized_side
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -42,8 +42,8 @@ def boxplot(df: DataFrame, value: str, group: str | None = None, overall: str =
 
 
 def ci_bars(intervals: DataFrame, keys: tuple[str, ...] = ("column",)) -> DataFrame:
-    """Estimate with its distances to the bounds, floored at zero, and its place in the chart (a row for each interval)."""
-    return intervals.withColumn("rank", F.row_number().over(Window.orderBy("estimate", *keys))).select(
+    """Estimate with its distances to the bounds, floored at zero, and its place in the chart."""
+    return numbered(intervals, ["estimate", *keys]).select(
         "rank", *keys, "estimate",
         F.greatest(F.lit(0.0), F.col("estimate") - F.col("ci_lower")).alias("distance_below"),
         F.greatest(F.lit(0.0), F.col("ci_upper") - F.col("estimate")).alias("distance_above"),

@@ -119,8 +119,7 @@ def add_scores(df: DataFrame) -> DataFrame:
 
 def add_labels(df: DataFrame, spec: Spec) -> DataFrame:
     score = F.col("quality_score")
-    published, received, opened = (F.col(c).isNotNull() for c in (spec.published, spec.received, spec.opened))
-    rules = [published & received & opened, published & received, received & opened, published & received, received & opened]
+    dated = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (spec.published, spec.received, spec.opened)])
     evidence = [X.non_placeholder(_col(c)) for c in (spec.id, spec.reference, spec.url, spec.portfolio)]
 
     def tally(conditions: list[Column]) -> Column:
@@ -131,7 +130,7 @@ def add_labels(df: DataFrame, spec: Spec) -> DataFrame:
         "risk_level": F.when(score < HIGH_RISK_THRESHOLD, "alto").when(score < RISK_THRESHOLD, "medio").otherwise("bajo"),
         "evidence_completeness": F.lit(1),
         "evidence_traceability": N.flag(tally(evidence) >= 3),
-        "evidence_temporal": N.flag(tally(rules) >= 3),
+        "evidence_temporal": N.flag(dated),
         "evidence_competition": N.flag(_any_not_null(spec.competition)),
     })
     measured = labelled.withColumns({

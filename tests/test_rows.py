@@ -172,3 +172,30 @@ def test_describe_plan(spark):
     assert found["overview"].first()["n_rows"] == rows.count()
     assert found["inventory"].count() == len(rows.columns)
     assert all(frame.columns for frame in found.values())
+
+
+def test_key_sets_in_one_scan(spark):
+    """Nulls that are there count apart from columns a set leaves out; the plan reads the table once."""
+    from assayer.operators.dedup import duplicate_summary
+
+    rows = [(1, None), (1, None), (None, 2), (None, 2), (None, None), (3, 3), (1, 5)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    keys = [["a"], ["b"], ["b", "a"], ["a", "b"]]
+
+    def plain(key, null_keys):
+        held = [tuple(r["ab".index(c)] for c in key) for r in rows]
+        held = [k for k in held if null_keys or None not in k]
+        n = [held.count(k) for k in set(held) if held.count(k) > 1]
+        return sum(n), len(n), round(100 * sum(n) / len(rows), 4)
+
+    for null_keys in (True, False):
+        got = {r[0]: tuple(r[1:]) for r in duplicate_summary(df, keys, null_keys).collect()}
+        assert got == {", ".join(k): plain(k, null_keys) for k in keys}
+    assert [tuple(r) for r in duplicate_summary(df.limit(0), [["a"]]).collect()] == [("a", 0, 0, 0.0)]
+
+
+def test_places_by_ranges(spark):
+    from assayer.operators.kernels import numbered
+
+    df = spark.createDataFrame([(i * 7919 % 500, "x") for i in range(500)], "v int, w string").repartition(4)
+    assert all(r["rank"] == r["v"] + 1 for r in numbered(df, ["v"], range_rows=60).collect())
