@@ -119,13 +119,13 @@ def fit(length: np.ndarray, count: np.ndarray, budget: float, window: int = WIND
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, text: str = "text",
-    keep: tuple[str, ...] = ("doc_id",), reread: bool = False,
+    keep: tuple[str, ...] = ("doc_id",), reread: bool = False, tie: str | None = None,
 ) -> DataFrame:
     """How often each document is taken: ``keep`` columns, key, size, source_size, target, copies, taken.
 
     A null text has size 0 and is never taken more often than its source's whole passes; a null source is a source of its own and
     comes last. Sources with nothing in them get nothing. Which of several equal documents is taken follows from the hash of
-    (doc_id, text, seed); wholly equal rows are interchangeable. Other columns are ignored.
+    (doc_id, text, seed) and the column ``tie``, if there is one; rows that are equal in these are interchangeable. Other columns are ignored.
 
     Shuffles hold numbers and the ``keep`` columns. ``reread``: take sizes from the texts twice instead of writing them down, for
     wide ``keep`` columns. A common length of a hot source is split by hash slices
@@ -135,7 +135,7 @@ def mix(
     bits = SLICES.bit_length() - 1
     sized = docs.select(
         *[F.col(c) for c in keep], F.col("source").cast("string").alias("source"), F.regexp_count(filled, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col("doc_id"), filled, F.lit(seed)).alias("draw"),
+        F.xxhash64(F.col("doc_id"), filled, F.lit(seed), *([F.col(tie)] if tie else [])).alias("draw"),
     ).withColumn("key", _key()).withColumn("slice", F.shiftrightunsigned("draw", 64 - bits).cast("int")).drop("source")
     sized = sized if reread else written(sized, "sizes")
     cells = written(sized.groupBy("key", "size", "slice").agg(F.count("*").alias("n")), "cells")
@@ -170,8 +170,12 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    All columns enter the draw, so that only wholly equal rows are interchangeable and the partitioning does not show.
+    """
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("document")
-    chosen = mix(docs.select("doc_id", "source", "text", whole), keep=("doc_id", "document"), reread=True, **options)
+    tie = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).cast("string"), F.col(c).isNull())]).alias("tie")
+    chosen = mix(docs.select("doc_id", "source", "text", whole, tie), keep=("doc_id", "document"), reread=True, tie="tie", **options)
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")
     return chosen.where("copies > 0").select("document", copies).select("document.*")

@@ -69,3 +69,14 @@ def test_stages(spark, folder):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in final) == Counter({(r[0], len(ids(r[1])), crc(r[1])): n for r, n in mixed.items()})
     ran = Counter(map(tuple, p.run(spark, place).collect()))
     assert ran == Counter(map(tuple, final))
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    """Rows that differ in a column beside id and text only: the same ones are taken for any partitioning."""
+    from assayer.llm.mixing import mixed_documents
+
+    rows = [(1, "one two three", lang, "src0", k) for k, lang in enumerate(["en", "de", "fr", None] * 5)]
+    rows += [(2 + k, "four five", "en", "src1", k) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixes = [Counter(map(tuple, mixed_documents(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert mixes[0] == mixes[1] == mixes[2] and sum(mixes[0].values()) > 20
