@@ -21,7 +21,7 @@ from assayer.llm.common import Prefixes, mixed, per_row, slices, text_or_empty,
 from assayer.llm.pretokens import HashTable
 
 SIMILARITY = 0.8  # 1 - word edits / words of the item
-MIN_WORDS = 5  # an item of fewer words is not told from ordinary text and is left out
+MIN_WORDS = 5  # an item of fewer words allows no edit: it is looked up whole, not by walks
 STEPS, SAMPLED = 8, 5  # of a walk, and of them in one hash; the first step is always sampled
 RECALL = 0.99  # of matches at the edit limit, spread against us
 MOST_REPETITIONS = 64
@@ -44,15 +44,15 @@ def edits(n: int) -> int:
     return int((1 - SIMILARITY) * n + 1e-9)
 
 
-def repetition_steps(shortest: int, recall: float = RECALL) -> list[np.ndarray]:
-    """Sampled steps of as many repetitions as the shortest item's recall takes.
+def repetition_steps(size: int, recall: float = RECALL) -> list[np.ndarray]:
+    """Sampled steps of as many repetitions as the recall of items of that many words takes.
 
     e edits leave one of e + 1 stretches with at least s = (n - e) / (e + 1) words. A repetition finds a match at a stretch if
     the pointer, which moves with probability 1/2 a step, is still within it at the last sampled step; stretches and repetitions
     miss independently.
     """
-    e = edits(shortest)
-    s = max(1, (shortest - e) // (e + 1))
+    e = edits(size)
+    s = max(1, (size - e) // (e + 1))
     random = np.random.default_rng(20)
     out: list[np.ndarray] = []
     missed = 0.0
@@ -81,6 +81,14 @@ def walk(words: np.ndarray, end: np.ndarray, at: np.ndarray, steps: np.ndarray,
     return mixed(key) | np.uint64(1)
 
 
+def sequence(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n words at and behind each position."""
+    key = np.full(len(at), np.uint64(n))
+    for j in range(n):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + words[at + j]
+    return mixed(key) | np.uint64(1)
+
+
 def nearest(item: list[int], window: list[int], limit: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of the window nearest to the item, if within the limit; bit-parallel columns.
 
@@ -132,6 +140,7 @@ class Index:
     members: HashTable  # (item, word)
     sizes: np.ndarray
     slack: np.ndarray
+    short: dict[int, tuple[HashTable, list[np.ndarray]]]  # words -> sequence key -> the items of that sequence
 
     @classmethod
     def of(cls, items: list[tuple[int | None, np.ndarray]]) -> Index:
@@ -141,31 +150,42 @@ class Index:
         ends = np.cumsum(sizes)
         item = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
-        steps = repetition_steps(int(sizes.min()))
+        long = np.flatnonzero(sizes[item] >= MIN_WORDS)
+        # The need is not monotone in the length, so every length of the block has its say.
+        steps = max((repetition_steps(int(n)) for n in np.unique(sizes[item[long]])), key=len, default=[])
         tables, bounds, places = [], [], []
         for seed, chosen in enumerate(steps):
-            keys = walk(flat, ends[item], np.arange(len(flat)), chosen, seed)
+            keys = walk(flat, ends[item], long, chosen, seed)
             order = np.argsort(keys, kind="stable")
             distinct, first = np.unique(keys[order], return_index=True)
             table = HashTable(len(distinct))
             table.add(distinct, np.arange(len(distinct), dtype=np.int32))
             tables.append(table)
             bounds.append(np.append(first, len(keys)))
-            places.append(np.stack([item[order], offset[order]], axis=1))
-        known = np.unique(flat)
+            places.append(np.stack([item[long[order]], offset[long[order]]], axis=1))
+        known = np.unique(flat[long])
         vocabulary = HashTable(len(known))
         vocabulary.add(known, np.arange(len(known), dtype=np.int32))
-        held = np.unique(_member(flat, item))
+        held = np.unique(_member(flat[long], item[long]))
         members = HashTable(len(held))
         members.add(held, np.arange(len(held), dtype=np.int32))
-        return cls(ids, words, steps, tables, bounds, places, vocabulary, members, sizes, np.array([edits(int(n)) for n in sizes]))
+        short = {}
+        for n in np.unique(sizes[sizes < MIN_WORDS]).tolist():
+            mine = np.flatnonzero(sizes == n)
+            keys = sequence(flat, ends[mine] - n, n)
+            order = np.argsort(keys, kind="stable")
+            distinct, first = np.unique(keys[order], return_index=True)
+            table = HashTable(len(distinct))
+            table.add(distinct, np.arange(len(distinct), dtype=np.int32))
+            short[n] = table, np.split(mine[order], first[1:])
+        return cls(ids, words, steps, tables, bounds, places, vocabulary, members, sizes, np.array([edits(int(n)) for n in sizes]), short)
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end word) for every item that a row holds, its nearest place each."""
         sizes = np.diff(bounds)
         end = np.repeat(bounds[1:], sizes)
         begin = np.flatnonzero(self.vocabulary.find(words) >= 0)  # a walk writes its first word, so it is one of an item's
-        pairs = []
+        pairs = [np.empty((0, 2), np.int64)]
         for seed, steps in enumerate(self.steps):
             group = self.tables[seed].find(walk(words, end, begin, steps, seed)) if len(begin) else np.empty(0, np.int32)
             hit = np.flatnonzero(group >= 0)
@@ -175,7 +195,21 @@ class Index:
             place = self.places[seed][which]
             pairs.append(np.stack([np.repeat(begin[hit], n) - place[:, 1], place[:, 0]], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        return self._verified(words, bounds, pairs[:, 0], pairs[:, 1])
+        return self._verified(words, bounds, pairs[:, 0], pairs[:, 1]) + self._verbatim(words, bounds, end)
+
+    def _verbatim(self, words: np.ndarray, bounds: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Every short item that stands word for word in a row, its first place."""
+        found = []
+        for n, (table, items) in self.short.items():
+            at = np.flatnonzero(np.arange(n, len(words) + n) <= end)
+            group = table.find(sequence(words, at, n))
+            at, group = at[group >= 0], group[group >= 0]
+            row = np.searchsorted(bounds, at, "right") - 1
+            _, first = np.unique(row * len(items) + group, return_index=True)  # places ascend, so the first one
+            for r, g, a in zip(row[first].tolist(), group[first].tolist(), at[first].tolist(), strict=True):
+                said = words[a : a + n]
+                found += [(r, int(k), 0, a - int(bounds[r]), a - int(bounds[r]) + n) for k in items[g] if np.array_equal(self.words[k], said)]
+        return found
 
     def _windows(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, low, high) of the windows to look at: overlapping places of one item are one, and those too poor in its words go.
@@ -214,13 +248,13 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> Iterator[Index]:
-    """The benchmark in blocks of bounded size, an item's words never split; items without words enough are left out."""
+    """The benchmark in blocks of bounded size, an item's words never split; items without words are left out."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty(text)).toLocalIterator()
     for item_id, body in rows:
         data = np.frombuffer(body.encode(), np.uint8)
         words, _ = word_hashes(data, np.array([0, len(data)]))
-        if len(words) >= MIN_WORDS:
+        if len(words):
             held.append((item_id, words))
             size += len(words)
         if size >= most:
@@ -239,7 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     ``edits``: the least number of words to insert, delete or replace between the item and a run of the document's words;
     ``first_word`` and ``end_word`` bound that run. Words are compared with A-Z folded. One map over the scan for each block of
     items; nothing is shuffled. Null and blank texts hold nothing; null item ids are carried; equal items are all reported;
-    items of fewer than MIN_WORDS words are left out. Columns beyond ``keep`` are ignored; repeated rows repeat their hits.
+    an item of fewer than MIN_WORDS words allows no edit and is found word for word, one without words is left out. Columns beyond ``keep`` are ignored; repeated rows repeat their hits.
     """
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     read = docs.select(*[F.col(c) for c in keep], text_or_empty(text))

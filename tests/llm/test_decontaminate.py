@@ -94,3 +94,36 @@ def test_blocks_find_the_same(spark):
     assert sum(1 for _ in d.item_blocks(items, most=60)) == 4
     docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it "), "text", F.lit(" behind it")).alias("text"))
     assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in d.contamination(docs, items).collect()) == [(i, i, 2, 22) for i in range(10)]
+
+
+def test_short_items_stand_word_for_word(spark):
+    from assayer.llm import decontaminate as d
+
+    items = [(0, "alpha"), (1, "beta gamma"), (2, "one two three four"), (3, "One  TWO three\nfour"), (4, " \t"), (5, None), (6, "five words are enough here")]
+    rows = [(0, "x alpha y Alpha"), (1, "beta, gamma"), (2, "beta\n\tGAMMA beta gamma"), (3, "one two three"), (3, "four alphabet"), (4, "zero one two three four five"),
+            (5, ""), (6, None), (7, "gamma beta"), (8, "alpha"), (8, "alpha"), (9, "five words are enough"), (10, "x five words are enough here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = []
+    for doc, text in rows:
+        words = (text or "").lower().split()
+        for i, item in items:
+            phrase = (item or "").lower().split()
+            at = [k for k in range(len(words) - len(phrase) + 1) if words[k : k + len(phrase)] == phrase]
+            if 0 < len(phrase) < 5 and at:
+                want.append((doc, i, 0, at[0], at[0] + len(phrase)))
+    got = [(r["doc_id"], r["item_id"], r["edits"], r["first_word"], r["end_word"]) for r in d.contamination(docs, bench).collect()]
+    assert sorted(g for g in got if g[1] != 6) == sorted(want) and len(want) == 6
+    assert sorted(g[0] for g in got if g[1] == 6) == [9, 10]
+    assert sorted(r["doc_id"] for r in d.uncontaminated(docs, bench).collect()) == [1, 3, 3, 5, 6, 7]
+    only = bench.where("item_id < 4")
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.contamination(docs, only).collect()) == sorted(w[:2] for w in want)
+
+
+def test_every_length_of_a_block_has_its_repetitions():
+    from assayer.llm.decontaminate import Index, repetition_steps
+
+    random = np.random.default_rng(1)
+    for sizes in ([9, 10], [14, 15, 40], [19, 20], [3, 100]):
+        items = [(i, random.integers(1, 1 << 60, n).astype(np.uint64)) for i, n in enumerate(sizes)]
+        assert len(Index.of(items).steps) == max(len(repetition_steps(n)) for n in sizes if n >= 5)
