@@ -237,7 +237,8 @@ class Index:
     def _verified(self, words: np.ndarray, bounds: np.ndarray, start: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Candidates (item would begin at ``start``) by exact edit distance, within each row that a window touches."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, low, high in zip(*(x.tolist() for x in self._windows(words, start, item)), strict=True):
+        windows = self._windows(words, start, item) if len(start) else ()
+        for k, low, high in zip(*(x.tolist() for x in windows), strict=True):
             mine, slack = self.words[k].tolist(), int(self.slack[k])
             for r in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
                 a, b = max(low, int(bounds[r])), min(high, int(bounds[r + 1]))

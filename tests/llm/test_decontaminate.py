@@ -127,3 +127,11 @@ def test_every_length_of_a_block_has_its_repetitions():
     for sizes in ([9, 10], [14, 15, 40], [19, 20], [3, 100]):
         items = [(i, random.integers(1, 1 << 60, n).astype(np.uint64)) for i, n in enumerate(sizes)]
         assert len(Index.of(items).steps) == max(len(repetition_steps(n)) for n in sizes if n >= 5)
+
+
+def test_a_round_without_candidates_finds_nothing(spark):
+    from assayer.llm.decontaminate import contamination
+
+    bench = spark.createDataFrame([(1, "five words are enough here")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["nothing of it", "", None, "quite another text"])], "doc_id long, text string").repartition(4)
+    assert contamination(docs, bench).collect() == []
