@@ -1,8 +1,9 @@
 """Secret scan: fixed rules, and character Markov models of random strings and of ordinary identifiers.
 
-``train`` counts character pairs of labelled samples over the whole table: strings that a rule has matched are random ones; runs of
-the alphabet are ordinary, but for long ones with digits, which could be either and are left unlabelled. ``find_secrets`` keeps the rules' spans and adds runs whose log-likelihood ratio
-between the two models is high.
+``train`` counts character pairs of labelled samples over the whole table: strings that a rule has matched are random ones; words
+and identifiers are ordinary, in lower case, capitals or camel case, with or without digits. Other long runs with digits could be
+either and are left unlabelled. ``find_secrets`` keeps the rules' spans and adds runs whose log-likelihood ratio between the two
+models is high.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ KINDS = ("assign", "access", "hex", "model")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # what the models judge
 MIN_MEAN, MIN_TOTAL = 0.9, 20.0  # nats a character, and in all
+IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]{0,3}|[0-9]{1,4})(?:[_/=-](?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]{0,3}|[0-9]{1,4}))+")
+UPPER_SHARE = 0.1  # how often a word is taken to be written in capitals as well, as names of constants are
 BACK_OFF = 20.0  # pairs' worth of weight of the single-character shares
 SIZE = len(ALPHABET) + 1  # 0 is any other character, also a run's edge
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
+_UPPER = np.arange(SIZE)
+_UPPER[27:53] = np.arange(1, 27)  # codes of a-z to those of A-Z
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,6 +64,21 @@ def _coded(strings: list[str]) -> np.ndarray:
     return _CODE[np.frombuffer(("\n" + "\n".join(strings) + "\n").encode(), np.uint8)]
 
 
+def _pairs_of_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Pairs inside each text; its edges are code 0, so that no pair depends on which text comes next."""
+    codes = np.concatenate([[0], _CODE[data], [0]])
+    total = _pairs(codes)
+    inner = np.unique(offsets[(offsets > 0) & (offsets < offsets[-1])])
+    before, behind = codes[inner], codes[inner + 1]
+    total -= np.bincount(before * SIZE + behind, minlength=SIZE * SIZE)
+    return total + np.bincount(np.concatenate([before * SIZE, behind]), minlength=SIZE * SIZE)
+
+
+def _unlabelled(text: str) -> list[str]:
+    """Long runs with digits that are not shaped as identifiers are."""
+    return [v for v in RUN.findall(text) if not v.isalpha() and re.search("[0-9]", v) and not IDENTIFIER.fullmatch(v)]
+
+
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratios by (previous, next) character, from pair counts over every whole text.
 
@@ -70,12 +90,11 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             column = batch.column("text")
-            for low, high, data, _ in texts_of(batch):
-                total[0] += _pairs(_CODE[data])
+            for low, high, data, offsets in texts_of(batch):
+                total[0] += _pairs_of_texts(data, offsets)
                 texts = column.slice(low, high - low).to_pylist()
                 total[1] += _pairs(_coded([v for t in texts for v in _values(t)]))
-                total[0] -= _pairs(_coded([v for t in texts for v in RUN.findall(t) if not v.isalpha() and re.search("[0-9]", v)]))
-        total[0] = np.maximum(total[0], 0)
+                total[0] -= _pairs(_coded([v for t in texts for v in _unlabelled(t)]))
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["pair", "ordinary", "random"])
 
@@ -83,7 +102,11 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     sums = np.zeros((2, SIZE * SIZE))
     for pair, ordinary, random in counted.groupBy("pair").agg(F.sum("ordinary"), F.sum("random")).collect():
         sums[:, pair] += ordinary, random
-    sums = sums.reshape(2, SIZE, SIZE)[:, :, 1:]  # what ends a run says nothing
+    sums = sums.reshape(2, SIZE, SIZE)
+    capitals = np.zeros((SIZE, SIZE))
+    np.add.at(capitals, (_UPPER[:, None], _UPPER[None, :]), sums[0])
+    sums[0] += UPPER_SHARE * capitals
+    sums = sums[:, :, 1:]  # what ends a run says nothing
     single = sums.sum(axis=1) + 1
     single /= single.sum(axis=1, keepdims=True)
     share = np.log((sums + BACK_OFF * single[:, None, :]) / (sums.sum(axis=2, keepdims=True) + BACK_OFF))

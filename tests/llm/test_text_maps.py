@@ -105,6 +105,34 @@ def test_secret_models_find_unlabelled_strings(spark):
     assert sum(got[2000 + i] for i in range(50)) == 0 and sum(got[i] for i in range(200)) == 0
 
 
+def test_secret_models_do_not_depend_on_partitioning(spark):
+    """The pair counts are those of a plain count per text, in any number of partitions."""
+    from assayer.llm.secrets import train
+
+    random = np.random.default_rng(6)
+    letters = np.array(list("abcXYZ019_- é="))
+    rows = [("".join(random.choice(letters, int(random.integers(0, 60)))) + f" token={''.join(random.choice(letters[:9], 30))}7",) for _ in range(300)]
+    docs = spark.createDataFrame(rows + [("",), (None,), ("x",)], "text string")
+    tables = [train(docs.repartition(n)) for n in (1, 7, 31)]
+    assert all(np.array_equal(tables[0], t) for t in tables[1:])
+
+
+def test_identifiers_are_no_secrets(spark):
+    """Identifiers in capitals, camel case and with digits that the training texts do not hold."""
+    from assayer.llm.secrets import find_secrets
+
+    random = np.random.default_rng(7)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    draw = lambda n: "".join(random.choice(letters, n))
+    prose = "the socket option sets a default for every retry in max_unicast_hops2 and http2_stream of the version 3 backoff table with ip_v6 "
+    named = ["MAX_RETRY_BACKOFF_MS_DEFAULT_V3", "IPV6_UNICAST_HOPS_SOCKET_OPTION", "defaultSocketOptionForRetryV2", "http2-stream-backoff-table-v3"]
+    rows = [(i, prose * 3 + f"token={draw(32)} and so on") for i in range(200)] + [(500 + i, f"{prose}{n} {prose}") for i, n in enumerate(named)]
+    rows += [(1000 + i, prose + draw(40) + " in between") for i in range(50)]
+    got = {r["doc_id"]: r["n_model"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[500 + i] for i in range(len(named))] == [0] * len(named)
+    assert sum(got[1000 + i] == 1 for i in range(50)) >= 48
+
+
 def test_token_counts(docs):
     from assayer.llm.tokens import count_tokens
 
