@@ -6,7 +6,7 @@ so a group holding a third of the table reaches its reducer as a few rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,23 +37,29 @@ def drop_logical(
     latest: str | None = None,
     tie_break: Sequence[str] = (),
     flag: str = "was_logical_duplicate",
+    carried: Sequence[str] = (),
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Keep the best row of each key: most complete, then latest, then the tie columns, then a row hash.
 
     Row position is not defined in a distributed table, so the last resort is a
-    hash of the row: the same row wins on every run and every partitioning.
+    hash of the row: the same row wins on every run and every partitioning. ``carried`` columns come along but have no say;
+    ``totals`` are aggregates over all rows of a key, in place of a column of that name or beside the others.
     """
+    totals = totals or {}
     order = [completeness_score(score_columns).alias("o0")]
     if latest:
         order += [F.col(latest).isNotNull().alias("o1"), F.col(latest).alias("o2")]
     order += [F.col(c).alias(f"t{i}") for i, c in enumerate(tie_break)]
-    order.append(F.xxhash64(*df.columns).alias("h"))
+    order.append(F.xxhash64(*[c for c in df.columns if c not in carried]).alias("h"))
     rest = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(
         F.max_by(F.struct(*rest), F.struct(*order)).alias("__best"),
         (F.count(F.lit(1)) > 1).alias(flag),
+        *[total.alias(f"__total_{name}") for name, total in totals.items()],
     )
-    return best.select(*[F.col(key) if c == key else F.col("__best")[c].alias(c) for c in df.columns], flag)
+    kept = [F.col(key) if c == key else F.col("__best")[c].alias(c) for c in df.columns if c not in totals]
+    return best.select(*kept, flag, *[F.col(f"__total_{name}").alias(name) for name in totals])
 
 
 def duplicate_summary(df: DataFrame, keys: Sequence[Sequence[str]], null_keys: bool = True) -> DataFrame:

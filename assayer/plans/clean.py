@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from assayer.functions import numbers as N
 from assayer.functions import text as X
+from assayer.operators import audit as M
 from assayer.operators import derive as D
 from assayer.operators.dedup import drop_exact, drop_logical
 from assayer.session import materialise
@@ -87,9 +88,25 @@ def corrected(df: DataFrame, spec: Spec) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
-def clean(df: DataFrame, spec: Spec, nfkc: str | bool = "auto") -> DataFrame:
+def clean(df: DataFrame, spec: Spec, nfkc: str | bool = "auto", track: bool = False) -> DataFrame:
+    """The cleaned table. ``track`` adds what ``operators.audit.cleaning_audit`` reads: marks of changed cells, and the raw and the
+    distinct rows that each row stands for. Which rows are kept does not depend on it."""
+    if track:
+        return _tracked(df, spec, nfkc)
     base = materialise(corrected(coerce(df, spec, nfkc), spec))  # read by deduplication and, its few columns, by the thresholds
     derived = _derive(drop_exact(base), spec, base)
     candidates = [c for c in derived.columns if c not in spec.dropped and c != "was_exact_duplicate"]
     single = drop_logical(derived, spec.id, candidates, spec.latest, spec.tie_break)
     return single.drop(*[c for c in spec.dropped if c in single.columns])
+
+
+def _tracked(df: DataFrame, spec: Spec, nfkc: str | bool) -> DataFrame:
+    columns, marks = df.columns, M.mark_names(df.columns)
+    coerced = coerce(df.withColumn(M.RAW, F.struct(*columns)), spec, nfkc)
+    base = materialise(corrected(M.with_marks(coerced, columns, spec), spec))
+    derived = _derive(M.drop_exact_marked(base, columns), spec, base)
+    extra = [*marks, M.RAW_ROWS]
+    candidates = [c for c in derived.columns if c not in (*spec.dropped, "was_exact_duplicate", *extra)]
+    totals = {M.RAW_ROWS: F.sum(M.RAW_ROWS), M.DISTINCT_ROWS: F.count(F.lit(1))}
+    single = drop_logical(derived, spec.id, candidates, spec.latest, spec.tie_break, carried=extra, totals=totals)
+    return single.drop(*[c for c in spec.dropped if c in single.columns])

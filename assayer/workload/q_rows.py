@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from assayer.functions import numbers as N
 from assayer.functions import text as X
 from assayer.operators import dedup, derive
+from assayer.operators.audit import cleaning_audit
+from assayer.operators.columns import ROLE_RULES, column_role
 from assayer.operators.kernels import exact_quantiles, sized_side
 from assayer.operators.score import add_labels, add_scores, engineer_flags
 from assayer.plans.clean import clean
@@ -659,3 +661,34 @@ CL AS (
        "base_price duration price_log duration_days competition_log supplier_ratio critical_completeness")
 def _(spark, sf):
     return clean(duplicated(spark, sf), SPEC, nfkc=False).select(*_CLEAN_OUT)
+
+
+def _cleaning_audit_sql() -> str:
+    """The raw cells of each process by what cleaning makes of them; copies of a process change in the same way."""
+    canonical = {c: sql_canonical(c) for c in ("description", "segment", "nation", "mode", "category_code")} | {"state": sql_text("state")}
+    canonical["tags"] = "CASE WHEN tags = '[A, B, A]' THEN 'A, B' ELSE tags END"
+    parts = []
+    for c in P_COLUMNS:
+        form = canonical.get(c, c)
+        role = column_role(c, SPEC)
+        counts = {
+            "unreadable": "FALSE", "placeholder": f"{c} IS NOT NULL AND {form} IS NULL", "rewritten": f"{form} <> {c}",
+            "negative": f"{c} < 0" if c in ("base_price", "duration") else "FALSE",
+            "unit": f"{c} IS DISTINCT FROM {_UNIT_NAME}" if c == "duration_unit" else "FALSE",
+        }
+        cells = ", ".join(f"count(*) FILTER ({condition}) AS {kind}" for kind, condition in counts.items())
+        fixed = f"'{role}'" if role else "CAST(NULL AS VARCHAR)"
+        parts.append(f"""SELECT '{c}' AS "column", {fixed} AS fixed_role, {cells} FROM P""")
+    rules = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLE_RULES.items())
+    union_all = "\nUNION ALL\n".join(parts)
+    return with_pd(f"""
+SELECT "column", role, CASE role {rules} END AS rule, unreadable, placeholder, rewritten, negative, unit, cells_changed,
+  (SELECT count(*) FROM PD) - (SELECT count(*) FROM DX) AS exact_copies_dropped, (SELECT count(*) FROM DX) - (SELECT count(*) FROM CL) AS logical_copies_dropped
+FROM (SELECT *, coalesce(fixed_role, CASE WHEN cells_changed > 0 THEN 'transformed' ELSE 'keep' END) AS role
+  FROM (SELECT *, unreadable + placeholder + rewritten + negative + unit AS cells_changed FROM (
+{union_all})))""", *CLEAN_CTES)
+
+
+@query("cleaning_audit", _cleaning_audit_sql())
+def _(spark, sf):
+    return cleaning_audit(clean(duplicated(spark, sf), SPEC, nfkc=False, track=True), P_COLUMNS, SPEC)
