@@ -1,14 +1,18 @@
 """Licence scan by a positional index of rare words; DataFrame functions only.
 
-The words of all licence notices are ranked once by how few documents hold them; the rarest word of each mandatory phrase says
-which files are looked at. A label counts once a mandatory phrase of its notice stands in the file. All places of that notice's
-words, taken relative to its postings, then vote for where the notice would begin, and the best beginning gives the share of
-postings that agree.
+The words of all licence notices are ranked once by how few documents hold them. A notice that stands in a file agrees with it in at
+least ``AGREE`` of its words at one beginning; then some of its rarest words agree there too, so only these are looked up. Their
+places in the file less their places in the notice vote for beginnings; a beginning with enough votes is compared word by word, and
+a mandatory phrase has to stand in the stretch. What is verified gives a label and its score, the share of agreeing words.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,12 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 ]
+# Short names that also verify a notice, but only in the stretch where its words agree.
+SHORT = {"agpl": ["agpl"], "apache-2.0": ["apache 2 0"], "gpl": ["gpl"], "lgpl": ["lgpl"], "mit": ["mit"], "mpl-2.0": ["mpl"]}
+AGREE = 0.4  # share of a notice's words that agree at one beginning
+VOTES = 3  # agreeing places of rare words that make a beginning worth comparing
+SLACK = 4  # words around the stretch in which a mandatory phrase may stand
+BARE = 0.25  # score of a mandatory phrase without its notice
 VOCABULARY = sorted({w for _, notice, phrases in NOTICES for text in (notice, *phrases) for w in text.split()})
 
 
@@ -47,6 +57,10 @@ def _phrase_at(words: Column, phrase: str, i: Column) -> Column:
     return found
 
 
+def _any(flags: list[Column]) -> Column:
+    return functools.reduce(operator.or_, flags)
+
+
 def words_of(text: str = "text") -> Column:
     """Lower-cased words. Only A-Z fold: no other letter is turned into one that a phrase holds."""
     filled = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -56,30 +70,38 @@ def words_of(text: str = "text") -> Column:
 def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of every licence word over all documents; the driver gets one number for each word."""
     held = docs.select(F.array_intersect(_texts(VOCABULARY), words_of(text)).alias("held"))
-    counted = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = docs.count()
-    found = {r["word"]: r["n"] for r in counted.collect()}
-    return {w: math.log((1 + total) / (1 + found.get(w, 0))) for w in VOCABULARY}
+    each = held.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("word"))  # the empty word counts the documents
+    found = {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return {w: math.log((1 + found.get("", 0)) / (1 + found.get(w, 0))) for w in VOCABULARY}
 
 
-def _begins(word: Column, place: Column, notice: str) -> Column:
-    """Where the notice would begin, for each of its postings of the word at ``place`` (null: the word is not in it)."""
+def rare_postings(notice: str, idf: dict[str, float]) -> tuple[int, dict[str, list[int]]]:
+    """(agreeing words needed, places of the rare words in the notice).
+
+    Whatever agrees in ``need`` of n words agrees in at least VOTES of the n - need + VOTES rarest ones, so no beginning is lost.
+    """
     words = notice.split()
-    postings = {w: [i for i, x in enumerate(words) if x == w] for w in dict.fromkeys(words)}
-    begins = F.lit(None).cast("array<int>")
-    for w, at in postings.items():
-        begins = F.when(word == w, F.transform(F.array(*[F.lit(i) for i in at]), lambda i: place - i)).otherwise(begins)
-    return begins
+    need = max(VOTES, math.ceil(AGREE * len(words)))
+    rarest = sorted(range(len(words)), key=lambda k: (-idf[words[k]], words[k], k))[: len(words) - need + VOTES]
+    postings: dict[str, list[int]] = {}
+    for k in sorted(rarest):
+        postings.setdefault(words[k], []).append(k)
+    return need, postings
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where a lambda reads it for each of its elements."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Base places, labels and score of each whole text.
 
     Everything is worked out inside a row, so no file meets another and nothing is shuffled but the word counts of ``rarity``.
-    A null or empty text has no words, no places, labels "" and score 0. ``score`` is the highest share of agreeing postings
-    among the labels found, and at least one half where a base phrase stands. Columns beyond ``keep`` are ignored, also such
-    with names of the result; repeated rows give repeated results. Votes are counted in one pass over sorted places, so a
-    text may hold any number of licence words.
+    A null or empty text has no words, no places, labels "" and score 0. ``score`` is the highest share of agreeing words among
+    the notices found, at least one half where a base phrase stands and BARE where only another mandatory phrase does; such a
+    phrase gives its label too. Columns beyond ``keep`` are ignored, also such with names of the result; repeated rows give
+    repeated results. Votes are counted over sorted places, so a text may hold any number of licence words.
     """
     idf = rarity(docs, text) if idf is None else idf
     ranked = sorted(VOCABULARY, key=lambda w: (-idf[w], w))  # array_intersect keeps this order
@@ -101,29 +123,52 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
         F.when(phrased, F.filter(F.transform("__words", base), lambda s: s["label"].isNotNull())).otherwise(none).alias("__base"),
     )
 
-    def votes(notice: str) -> Column:
-        begins = F.array_sort(F.flatten(F.filter(F.transform("__words", lambda w, i: _begins(w, i, notice)), lambda b: b.isNotNull())))
-        zero = F.struct(F.lit(None).cast("int").alias("now"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-        def step(s: Column, b: Column) -> Column:
-            run = F.when(s["now"] == b, s["run"] + 1).otherwise(1)
-            return F.struct(b.alias("now"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
-
-        places = F.size(F.filter(_texts(notice.split()), lambda w: F.array_contains("__present", w)))
-        most = F.aggregate(begins, zero, step, lambda s: s["most"])
-        return F.when(places > 0, F.least(F.lit(1.0), most / places)).otherwise(0.0)
+    def agreeing(label: str, notice: str, phrases: list[str]) -> Column:
+        """The highest share of words that agree at one beginning with a mandatory phrase in its stretch; null: none."""
+        wanted, (need, postings) = notice.split(), rare_postings(notice, idf)
+
+        def begins(hit: Column) -> Column:
+            found = F.array().cast("array<int>")
+            for w, at in postings.items():
+                found = F.when(hit["word"] == w, F.array(*[hit["at"] - k for k in at])).otherwise(found)
+            return found
+
+        def verified(begin: Column) -> Column:
+            agree = F.lit(0)
+            for k, w in enumerate(wanted):
+                agree = agree + F.coalesce((F.get(F.col("__words"), begin + k) == w).cast("int"), F.lit(0))
+            stretch = F.slice("__words", F.greatest(F.lit(0), begin - SLACK) + 1, len(wanted) + 2 * SLACK)
+            named = _bound(F.concat(F.lit(" "), F.array_join(stretch, " "), F.lit(" ")), lambda said: _any([F.contains(said, F.lit(f" {p} ")) for p in (*phrases, *SHORT.get(label, ()))]))
+            return _bound(agree, lambda n: F.when((n >= need) & named, n / len(wanted)))
+
+        voted = _bound(
+            F.array_sort(F.flatten(F.transform("__hits", begins))),
+            lambda at: F.array_distinct(F.filter(at, lambda x, i: F.coalesce(F.get(at, i + (VOTES - 1)) == x, F.lit(False)))),
+        )
+        return F.array_max(F.transform(voted, verified))
+
+    def enough(notice: str) -> Column:
+        """Whether the file holds as many of the notice's words as have to agree."""
+        held = F.lit(0)
+        for w, n in Counter(notice.split()).items():
+            held = held + F.array_contains("__present", w).cast("int") * n
+        return held >= rare_postings(notice, idf)[0]
 
     def stands(phrases: list[str]) -> Column:
         said = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
-        found = F.lit(False)
-        for p in phrases:
-            found = found | F.contains(said, F.lit(f" {p} "))
-        return found
+        return _bound(said, lambda whole: _any([F.contains(whole, F.lit(f" {p} ")) for p in phrases]))
 
+    gates = read.withColumn("__open", F.array(*[enough(notice) for _, notice, _ in NOTICES]))
+    hit = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(VOCABULARY))
+    opened = gates.withColumn("__hits", F.when(F.array_contains("__open", True), hit))
     verdicts = F.array(*[
-        F.when(stands(phrases), F.struct(F.lit(label).alias("label"), votes(notice).alias("share"))) for label, notice, phrases in NOTICES
+        F.struct(F.lit(label).alias("label"), F.coalesce(
+            F.when(F.get("__open", k), agreeing(label, notice, phrases)), F.when(F.col("__suspect") & stands(phrases), BARE),
+        ).alias("share"))
+        for k, (label, notice, phrases) in enumerate(NOTICES)
     ])
-    judged = read.select(*keep, "__words", "__base", F.when(F.col("__suspect"), F.filter(verdicts, lambda v: v.isNotNull())).alias("__found"))
+    asked = F.col("__suspect") | F.array_contains("__open", True)
+    judged = opened.select(*keep, "__words", "__base", F.when(asked, F.filter(verdicts, lambda v: v["share"].isNotNull())).alias("__found"))
     labels = F.transform("__base", lambda s: s["label"])
     more = F.coalesce(F.transform("__found", lambda v: v["label"]), F.array().cast("array<string>"))
     share = F.coalesce(F.array_max(F.transform("__found", lambda v: v["share"])), F.lit(0.0))

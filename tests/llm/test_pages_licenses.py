@@ -73,3 +73,46 @@ def test_whole_notices_score_one_beside_rarer_words(spark):
     docs = spark.createDataFrame([(k, " ".join([*others, "x", notice, "y"])) for k, (_, notice, _) in enumerate(NOTICES)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in scan_licenses(docs, idf).collect()}
     assert all(name in rows[k]["labels"].split(",") and rows[k]["score"] == 1 for k, (name, _, _) in enumerate(NOTICES))
+
+
+def plain_labels(text):
+    """Every beginning of every notice compared word by word."""
+    from assayer.llm.licenses import AGREE, BARE, NOTICES, SHORT, SLACK
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    found = {}
+    for label, notice, phrases in NOTICES:
+        want = notice.split()
+        for b in range(1 - len(want), len(words)):
+            agree = sum(0 <= b + k < len(words) and words[b + k] == w for k, w in enumerate(want))
+            low = max(0, b - SLACK)
+            said = f" {' '.join(words[low : low + len(want) + 2 * SLACK])} "
+            if agree >= AGREE * len(want) and any(f" {p} " in said for p in (*phrases, *SHORT.get(label, ()))):
+                found[label] = max(found.get(label, 0), agree / len(want))
+        if any(f" {p} " in f" {' '.join(words)} " for p in phrases):
+            found.setdefault(label, BARE)
+    base = plain(text)[-1]
+    score = max([*found.values(), 0.5 if base else 0])
+    return ",".join(sorted({*found, *base.split(",")} - {""})), round(score, 9)
+
+
+def test_labels_come_through_agreeing_places(spark):
+    """Labels and scores against every beginning of every notice: damaged, cut, repeated, mixed and only named notices."""
+    import random
+
+    from assayer.llm.licenses import NOTICES, scan_licenses
+
+    rng, texts = random.Random(7), [t for t in TEXTS if t is None or len(t) < 5000]
+    for _, notice, _ in NOTICES:
+        words = notice.split()
+        texts += [" ".join(words[rng.randrange(len(words)) :]), " ".join(words[: rng.randrange(len(words))]), " ".join([*words, "x"] * 3)]
+        for rate in (0.1, 0.3, 0.5, 0.6, 0.7):
+            texts.append(" ".join(rng.choice(["of", "the", "gpl", "mit", "x"]) if rng.random() < rate else w for w in words))
+        shuffled = rng.sample(words, len(words))
+        texts += [" ".join(shuffled), " ".join([*shuffled, *words, *rng.choice(NOTICES)[1].split()])]
+    gpl = next(n for name, n, _ in NOTICES if name == "gpl")
+    texts += [gpl.replace("gnu general public license", "gpl"), gpl.replace("gnu general public license", "licence"), "we compared the mozilla public license with others"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in scan_licenses(docs).collect()}
+    assert got == {i: plain_labels(t) for i, t in enumerate(texts)}
+    assert got[len(texts) - 3][0] == "gpl" and got[len(texts) - 2] == ("", 0) and got[len(texts) - 1] == ("mpl-2.0", 0.25)
