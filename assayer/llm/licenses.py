@@ -11,7 +11,6 @@ from __future__ import annotations
 import functools
 import math
 import operator
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +45,7 @@ VOCABULARY = sorted({w for _, notice, phrases in NOTICES for text in (notice, *p
 
 
 def _texts(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.split(F.lit(" ".join(words)), " ")  # one constant
 
 
 def _phrase_at(words: Column, phrase: str, i: Column) -> Column:
@@ -70,23 +69,21 @@ def words_of(text: str = "text") -> Column:
 def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of every licence word over all documents; the driver gets one number for each word."""
     held = docs.select(F.array_intersect(_texts(VOCABULARY), words_of(text)).alias("held"))
-    each = held.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("word"))  # the empty word counts the documents
+    # the empty word counts the documents; the outer form infers no filter, which would work the words out again
+    each = held.select(F.explode_outer(F.concat(F.array(F.lit("")), "held")).alias("word"))
     found = {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return {w: math.log((1 + found.get("", 0)) / (1 + found.get(w, 0))) for w in VOCABULARY}
 
 
-def rare_postings(notice: str, idf: dict[str, float]) -> tuple[int, dict[str, list[int]]]:
-    """(agreeing words needed, places of the rare words in the notice).
+def rare_places(notice: str, idf: dict[str, float]) -> tuple[int, list[str]]:
+    """(agreeing words needed, the notice with "-" at the places of its other words).
 
     Whatever agrees in ``need`` of n words agrees in at least VOTES of the n - need + VOTES rarest ones, so no beginning is lost.
     """
     words = notice.split()
     need = max(VOTES, math.ceil(AGREE * len(words)))
-    rarest = sorted(range(len(words)), key=lambda k: (-idf[words[k]], words[k], k))[: len(words) - need + VOTES]
-    postings: dict[str, list[int]] = {}
-    for k in sorted(rarest):
-        postings.setdefault(words[k], []).append(k)
-    return need, postings
+    rarest = set(sorted(range(len(words)), key=lambda k: (-idf[words[k]], words[k], k))[: len(words) - need + VOTES])
+    return need, [w if k in rarest else "-" for k, w in enumerate(words)]
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -125,41 +122,37 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
 
     def agreeing(label: str, notice: str, phrases: list[str]) -> Column:
         """The highest share of words that agree at one beginning with a mandatory phrase in its stretch; null: none."""
-        wanted, (need, postings) = notice.split(), rare_postings(notice, idf)
+        wanted, (need, rare) = notice.split(), rare_places(notice, idf)
 
-        def begins(hit: Column) -> Column:
-            found = F.array().cast("array<int>")
-            for w, at in postings.items():
-                found = F.when(hit["word"] == w, F.array(*[hit["at"] - k for k in at])).otherwise(found)
-            return found
+        # for each word that the file holds its rare places in the notice; a hit tells its word by its number among those
+        index = F.transform("__present", lambda x: F.filter(F.transform(_texts(rare), lambda w, k: F.when(w == x, k)), lambda k: k.isNotNull()))
+        begins = _bound(index, lambda places: F.flatten(F.transform("__hits", lambda h: F.transform(F.get(places, h["word"]), lambda k: h["at"] - k))))
 
         def verified(begin: Column) -> Column:
-            agree = F.lit(0)
-            for k, w in enumerate(wanted):
-                agree = agree + F.coalesce((F.get(F.col("__words"), begin + k) == w).cast("int"), F.lit(0))
+            own = F.slice(_texts(wanted), F.greatest(F.lit(0), -begin) + 1, len(wanted))
+            theirs = F.slice("__words", F.greatest(F.lit(0), begin) + 1, F.least(F.lit(0), begin) + len(wanted))
+            agree = F.size(F.filter(F.zip_with(own, theirs, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
             stretch = F.slice("__words", F.greatest(F.lit(0), begin - SLACK) + 1, len(wanted) + 2 * SLACK)
             named = _bound(F.concat(F.lit(" "), F.array_join(stretch, " "), F.lit(" ")), lambda said: _any([F.contains(said, F.lit(f" {p} ")) for p in (*phrases, *SHORT.get(label, ()))]))
             return _bound(agree, lambda n: F.when((n >= need) & named, n / len(wanted)))
 
         voted = _bound(
-            F.array_sort(F.flatten(F.transform("__hits", begins))),
+            F.sort_array(begins),
             lambda at: F.array_distinct(F.filter(at, lambda x, i: F.coalesce(F.get(at, i + (VOTES - 1)) == x, F.lit(False)))),
         )
         return F.array_max(F.transform(voted, verified))
 
     def enough(notice: str) -> Column:
         """Whether the file holds as many of the notice's words as have to agree."""
-        held = F.lit(0)
-        for w, n in Counter(notice.split()).items():
-            held = held + F.array_contains("__present", w).cast("int") * n
-        return held >= rare_postings(notice, idf)[0]
+        held = F.size(F.filter(_texts(notice.split()), lambda w: F.array_contains("__present", w)))
+        return held >= rare_places(notice, idf)[0]
 
     def stands(phrases: list[str]) -> Column:
         said = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
         return _bound(said, lambda whole: _any([F.contains(whole, F.lit(f" {p} ")) for p in phrases]))
 
     gates = read.withColumn("__open", F.array(*[enough(notice) for _, notice, _ in NOTICES]))
-    hit = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(VOCABULARY))
+    hit = F.filter(F.transform("__words", lambda w, i: F.struct((F.array_position("__present", w) - 1).cast("int").alias("word"), i.alias("at"))), lambda h: h["word"] >= 0)
     opened = gates.withColumn("__hits", F.when(F.array_contains("__open", True), hit))
     verdicts = F.array(*[
         F.struct(F.lit(label).alias("label"), F.coalesce(
