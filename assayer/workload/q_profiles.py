@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import columns as C
-from assayer.operators import dedup, derive, plotdata
+from assayer.operators import dedup, derive, plotdata, sketches
 from assayer.operators import profile as A
 from assayer.operators.kernels import frequencies
+from assayer.session import materialise
 from assayer.spec import PLACEHOLDER_TOKENS
 from assayer.workload.fixtures import P_COLUMNS, SPEC, documents, duplicated, processes, table, with_p, with_pd
 from assayer.workload.q_rows import FLAGS, INDICATORS_CTE, indicators, scored, sql_days, sql_list, sql_token, stamp, with_scores
@@ -335,3 +336,10 @@ FROM (SELECT D.mode, D.base_price AS v, Q.q1, Q.q2, Q.q3 FROM D JOIN Q ON D.mode
        FROM D GROUP BY mode)"""), "q1 median q3 whisker_low whisker_high")
 def _(spark, sf):
     return plotdata.boxplot(processes(spark, sf, "mode", "base_price"), "base_price", "mode")
+
+
+@query("sketch_profile")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
+    stored = materialise(sketches.sketches(orders, ["month"], ["o_custkey", "o_orderstatus", "o_orderpriority"], ["o_totalprice"]))
+    return sketches.sketch_profile(stored)
