@@ -42,6 +42,7 @@ COMMENTS = set("comment comments commentlist respond disqus reply replies discus
 STATES = set("has no with open closed enabled disabled count".split())  # parts of names that say how a page is, not what an element is
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = HEADINGS | set("p blockquote pre".split())  # dropped for a name only if every part of it says so
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS_END = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SAME = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -145,7 +146,7 @@ class Page:
                         continue
                     if parts & COMMENTS and (name not in ("article", "main") or parts <= COMMENTS):
                         return True, False
-                    if parts & NAMES and name not in ("article", "main"):
+                    if parts & NAMES and name not in ("article", "main") and (name not in PROSE or parts <= NAMES):
                         return True, True
         return False, False
 
@@ -192,11 +193,14 @@ def main_text(html: str | None) -> str:
         dropped[k] = dropped[up] or own
     length, linked, links = [0] * n, [0] * n, [0] * n
     for k, text, inside, count in page.blocks:
-        while k >= 0:
-            length[k] += len(text)
-            linked[k] += inside
-            links[k] += count
-            k = page.parent[k]
+        length[k] += len(text)
+        linked[k] += inside
+        links[k] += count
+    for k in range(n - 1, 0, -1):  # an element comes after its parent, so one pass sums whole subtrees
+        up = page.parent[k]
+        length[up] += length[k]
+        linked[up] += linked[k]
+        links[up] += links[k]
     for k in range(1, n):  # lists of links are menus wherever they stand
         menu = page.tag[k] in ("ul", "ol", "div", "table", "section", "dl") and links[k] >= MENU_LINKS and linked[k] >= MENU_DENSITY * length[k]
         dropped[k] = dropped[k] or menu or dropped[page.parent[k]]
@@ -208,10 +212,9 @@ def main_text(html: str | None) -> str:
         plain = len(text) - inside
         worth = plain / 100 + text.count(",") * plain / len(text)
         k = page.parent[k] if page.tag[k] not in ("div", "section", "article", "main", "td", "body", "#root") else k
-        while k >= 0:
-            points[k] += worth
-            worth /= HALF_LIFE
-            k = page.parent[k]
+        points[k] += worth
+    for k in range(n - 1, 0, -1):
+        points[page.parent[k]] += points[k] / HALF_LIFE
     for k in range(n):
         points[k] *= 1 - linked[k] / length[k] if length[k] else 0
     candidates = [k for k in range(n) if not dropped[k] and points[k] > 0]

@@ -116,3 +116,14 @@ def test_labels_come_through_agreeing_places(spark):
     got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in scan_licenses(docs).collect()}
     assert got == {i: plain_labels(t) for i, t in enumerate(texts)}
     assert got[len(texts) - 3][0] == "gpl" and got[len(texts) - 2] == ("", 0) and got[len(texts) - 1] == ("mpl-2.0", 0.25)
+
+
+def test_names_of_prose_and_deep_pages():
+    """A paragraph goes only if every part of its name says so; nested elements cost time in proportion."""
+    from assayer.llm.html import main_text
+
+    def page(name):
+        return main_text(f"<main><p>First paragraph, with words.</p><p class='{name}'>Body, of text.</p></main>")
+
+    assert all(page(c).endswith("\nBody, of text.") for c in ("side-effects", "notice-of-rights", "searchResult")) and all("Body" not in page(c) for c in ("cookie-notice", "ad", "side"))
+    assert main_text("<div>text, here" * 20_000).count("text, here") >= 1
