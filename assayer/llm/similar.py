@@ -1,10 +1,11 @@
 """Near-duplicates of the pipeline stage: SimHash through pivot tables, for texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more.
 
-MinHash bands say which sets may be similar and join them to coarse groups. Within a group each fingerprint of five-word shingles has
-a row of precomputed Hamming distances to reference fingerprints. Pairs whose rows differ by more than the radius in any coordinate
-are discarded, those beyond the radius too, and survivors are verified by the exact Jaccard similarity of their sets; what is
-verified makes the components.
+Fingerprints of five-word shingles meet as in ``simhash``: under keys of intact bits the pivot tables discard, and what differs in at
+most three bits is joined. No set of intact bits reaches the ten bits at which sets of similarity 0.8 differ, so sets that share a
+MinHash band are joined as well. What is joined makes coarse groups. Within a group each fingerprint has a row of precomputed Hamming
+distances to reference fingerprints. Pairs whose rows differ by more than the radius in any coordinate are discarded, those beyond the
+radius too, and survivors are verified by the exact Jaccard similarity of their sets; what is verified makes the components.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 from assayer.llm.common import mixed, text_or_empty, texts_of, written
 from assayer.llm.components import components
 from assayer.llm.decontaminate import word_hashes
+from assayer.llm.simhash import links as fingerprint_links
 from assayer.llm.simhash import pivot_table
 
 SHINGLE = 5  # words; a shorter text is one shingle
@@ -137,6 +139,22 @@ def links(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.groupBy("component", "cell.i", "cell.j").applyInArrow(_verified, "a long, b long")
 
 
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the sets of ``nodes`` (node, fp, bands) which may be similar.
+
+    Sets meet if pivot tables link their fingerprints, which equal ones always are, or if they share a band key. A hub stands for
+    all sets of one fingerprint and for all of one key, so copies cost one edge each.
+    """
+    hubs = written(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    equal = nodes.join(hubs, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    left, right = (hubs.select(F.col("fp").alias(k), F.col("hub").alias(f"{k}_hub")) for k in "ab")
+    near = fingerprint_links(hubs.select("fp")).join(left, "a").join(right, "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    banded = keyed.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return equal.union(near).union(banded)
+
+
 def one_of_similar(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents of ``docs`` less all but one of each component of similar texts, with the same columns.
 
@@ -168,9 +186,7 @@ def one_of_similar(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = written(written(marked, "digests").groupBy("node").agg(
         F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"),
     ), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    coarse = written(components(nodes.select("node"), keyed.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b"))), "coarse")
+    coarse = written(components(nodes.select("node"), meetings(nodes)), "coarse")
     sized = coarse.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
     groups = written(sized.where("n > 1"), "groups")
     want = nodes.join(coarse.join(groups, "component"), "node").select("node", "component", "fp", "first.__a", "first.__b")

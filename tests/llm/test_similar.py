@@ -69,3 +69,23 @@ def test_similar_texts(spark, monkeypatch, cell):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect() if plain_shingles(r["text"])) == Counter({r: n for r, n in want.items() if plain_shingles(r[1])})
     assert sum(not plain_shingles(r["text"]) for r in kept.collect()) == 1
     assert near_duplicates(spark, docs.where("false"), "").collect() == []
+
+
+def test_fingerprints_meet_through_pivot_tables(spark):
+    """Sets without a common band key meet if their fingerprints differ in at most three bits, and by keys beyond that."""
+    from assayer.llm.components import components
+    from assayer.llm.similar import meetings
+
+    random = np.random.default_rng(8)
+    base = [int(x) for x in random.integers(-(1 << 63), 1 << 63, 40)]
+    rows, want = [], {}
+    for k, fp in enumerate(base):
+        for j, bits in enumerate([(), (), (0,), (5, 21, 63), (1, 2, 3, 4)]):
+            flipped = np.uint64(fp % (1 << 64))
+            for b in bits:
+                flipped ^= np.uint64(1 << (b + k) % 64)
+            rows.append((10 * k + j, int(flipped.view(np.int64)), [1000 * k + j] + ([-k - 1] if j in (2, 4) and k % 2 else [])))
+            want[10 * k + j] = 10 * k + (j if j == 4 and k % 2 == 0 else 0)
+    nodes = spark.createDataFrame(rows, "node long, fp long, bands array<long>")
+    found = {r["node"]: r["component"] for r in components(nodes.select("node"), meetings(nodes)).collect()}
+    assert found == want
