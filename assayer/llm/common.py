@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assayer.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts: a run without ASCII white space
-CHUNK_BYTES = 2 << 20  # text that one round of array work holds; a longer text makes a round of its own
+CHUNK_BYTES = 1 << 19  # text that one round of array work holds; a longer text makes a round of its own
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -80,3 +80,25 @@ def test_mix_does_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     mixes = [Counter(map(tuple, mixed_documents(docs.repartition(n)).collect())) for n in (1, 3, 7)]
     assert mixes[0] == mixes[1] == mixes[2] and sum(mixes[0].values()) > 20
+
+
+def test_stages_take_texts_in_small_batches(spark, folder):
+    """A stage called by itself hands texts to Python by some megabytes; a smaller setting of the session stays."""
+    import corpus_pipeline as p
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 800) AS text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    spark.conf.unset(key)
+    p.quality(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
+    got = [r["bytes"] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(got) > 10 << 20 and max(got) < 5 << 20
+    spark.conf.set(key, "1m")
+    p.quality(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
