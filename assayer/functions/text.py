@@ -31,6 +31,7 @@ from assayer.spec import (
 _ASCII_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
 _SPACE = rf"{_ASCII_SPACE} \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"
 SPACE_RUN = rf"[{_SPACE}]+"
+NOT_SPACE = rf"[^{_SPACE}]"
 # What makes an ASCII text uneven: any white space but the plain space, or two spaces in a row.
 UNEVEN_ASCII = rf"[{_ASCII_SPACE}]|  "
 NON_ASCII = r"[^\x00-\x7F]"
@@ -73,10 +74,10 @@ def is_ascii(column: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    """Even ASCII text, the usual case, is only looked at; the rest is rewritten."""
-    even = is_ascii(text) & ~text.rlike(UNEVEN_ASCII)
-    spaced = F.when(even, text).otherwise(F.regexp_replace(text, SPACE_RUN, " "))
-    return F.nullif(F.trim(spaced), F.lit(""))
+    """Even ASCII text, the usual case, is only looked at, and once; the rest is rewritten."""
+    ends = (text == "") | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    even = is_ascii(text) & ~ends & ~text.rlike(UNEVEN_ASCII)
+    return F.when(even, text).when(text.rlike(NOT_SPACE), F.trim(F.regexp_replace(text, SPACE_RUN, " ")))
 
 
 def normalize_text(column: Column, nfkc: bool = False) -> Column:
@@ -173,9 +174,12 @@ def multivalue_text(column: Column, normalized: bool = False) -> Column:
     text = column if normalized else normalize_text(column)
     inner = F.when(F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]")) & (F.length(text) >= 2), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     pieces = F.transform(F.split(inner, ","), lambda piece: F.trim(piece))
-    return F.nullif(
+    listed = F.nullif(
         F.array_join(F.array_distinct(F.filter(pieces, lambda piece: piece != "")), ", "), F.lit("")
     )
+    # A normalised text of one piece is its own list.
+    single = ~F.contains(text, F.lit(",")) & ~F.startswith(text, F.lit("["))
+    return F.when(single, text).otherwise(listed)
 
 
 def flatten_url(df: DataFrame, name: str, field: str = "url") -> Column:
@@ -209,9 +213,9 @@ def _lookup(pairs: dict[str, object], token: Column) -> Column:
     return F.try_element_at(F.create_map(*literals), token)
 
 
-def duration_unit(column: Column, nfkc: bool = False) -> Column:
-    """Canonical unit name; anything not recognised is the unknown-unit label."""
-    return unit_of_token(normalize_token(column, nfkc))
+def duration_unit(column: Column, nfkc: bool = False, normalized: bool = False) -> Column:
+    """Canonical unit name; anything not recognised is the unknown-unit label. ``normalized`` as in ``canonicalize_text``."""
+    return unit_of_token(token_of(column, nfkc) if normalized else normalize_token(column, nfkc))
 
 
 def unit_of_token(token: Column) -> Column:
@@ -232,6 +236,11 @@ def days_of_token(token: Column) -> Column:
     return _lookup(days, token)
 
 
+def days_of_unit(unit: Column) -> Column:
+    """``unit_days`` of a canonical unit name: a look-up, no text work."""
+    return _lookup({name: value for name, (_, value) in DURATION_UNITS.items()}, unit)
+
+
 def normalize_column_name(name: str) -> str:
     """ASCII, lower case, runs of other characters to one underscore."""
     plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii").lower()

@@ -7,6 +7,7 @@ numbers a row. The audit reads the cleaned table alone; the raw table is not sca
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from assayer.spec import Spec
 
 KINDS = ("unreadable", "placeholder", "rewritten", "negative", "unit")
 WORD_BITS = 63  # columns in one long
-RAW, RAW_ROWS, DISTINCT_ROWS = "__raw", "raw_rows", "distinct_rows"
+CELLS = 4  # cells whose marks one expression computes
+RAW, PARTS, RAW_ROWS, DISTINCT_ROWS = "__raw", "__parts", "raw_rows", "distinct_rows"
 
 
 def mark_names(columns: Sequence[str]) -> list[str]:
@@ -32,7 +34,7 @@ def _cell_kinds(df: DataFrame, name: str, spec: Spec) -> dict[str, Column]:
     if isinstance(df.schema[RAW].dataType[name].dataType, (T.DoubleType, T.FloatType)):
         before = before & ~F.isnan(raw)
     if name == spec.duration_unit:
-        return {"unit": ~raw.eqNullSafe(X.duration_unit(value))}
+        return {"unit": ~raw.eqNullSafe(X.duration_unit(value, normalized=True))}
     typed = name in spec.dates or name in spec.numeric
     out = {"unreadable" if typed else "placeholder": before & value.isNull(), "rewritten": before & value.isNotNull() & ~raw.try_cast(kind).eqNullSafe(value)}
     if name in (spec.price, spec.duration, *spec.counters):
@@ -43,14 +45,18 @@ def _cell_kinds(df: DataFrame, name: str, spec: Spec) -> dict[str, Column]:
 
 def with_marks(coerced: DataFrame, columns: Sequence[str], spec: Spec) -> DataFrame:
     """``coerced`` holds the raw row in RAW and amounts that may still be negative; RAW gives way to the marks."""
-    bits: dict[str, Column] = {}
+    bits: dict[str, list[Column]] = {}
     for i, name in enumerate(columns):
         for kind, holds in _cell_kinds(coerced, name, spec).items():
-            mark = f"changed_{kind}_{i // WORD_BITS}"
             bit = F.when(holds, F.lit(1 << i % WORD_BITS)).otherwise(F.lit(0)).cast("long")
-            bits[mark] = bits[mark].bitwiseOR(bit) if mark in bits else bit
+            bits.setdefault(f"changed_{kind}_{i // WORD_BITS}", []).append(bit)
+    # A few cells each in an array of its own projection: one expression over all cells of a mark is one method, which HotSpot leaves interpreted.
+    parts: dict[str, list[Column]] = {m: [reduce(Column.bitwiseOR, found[j:j + CELLS]) for j in range(0, len(found), CELLS)] for m, found in bits.items()}
+    flat = [(m, part) for m, own in parts.items() for part in own]
+    placed = coerced.select(*columns, F.array(*[part for _, part in flat]).alias(PARTS))
+    words = {m: reduce(Column.bitwiseOR, [F.col(PARTS)[k] for k, (own, _) in enumerate(flat) if own == m]) for m in parts}
     zero = F.lit(0).cast("long")
-    return coerced.select(*columns, *[bits.get(m, zero).alias(m) for m in mark_names(columns)])
+    return placed.select(*columns, *[words.get(m, zero).alias(m) for m in mark_names(columns)])
 
 
 def drop_exact_marked(df: DataFrame, columns: Sequence[str], flag: str = "was_exact_duplicate") -> DataFrame:

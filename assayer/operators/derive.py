@@ -80,16 +80,24 @@ def duration_in_days(spec: Spec) -> Column:
     return N.non_negative(F.col(spec.duration)) * X.days_of_token(F.col("__unit"))
 
 
-def with_duration(df: DataFrame, spec: Spec, reference: DataFrame | None = None) -> DataFrame:
-    """Duration in days, improbable flag, unknown-unit flag; the unit becomes its canonical name."""
+def with_duration(df: DataFrame, spec: Spec, reference: DataFrame | None = None, canonical: bool = False) -> DataFrame:
+    """Duration in days, improbable flag, unknown-unit flag; the unit becomes its canonical name.
+
+    ``canonical`` says that both tables hold canonical units and no negative durations already, so days are a look-up.
+    """
     needed = dict.fromkeys((spec.duration, spec.duration_unit))
-    source = with_unit_token(materialise(df.select(*needed)) if reference is None else reference, spec)  # read by three passes
-    limit = global_threshold(source, duration_in_days(spec), DURATION_QUANTILE).scalar()
-    derived = with_unit_token(df, spec).withColumns({
-        "duration_days": duration_in_days(spec),
-        spec.duration_unit: X.unit_of_token(F.col("__unit")),
-        spec.duration: N.non_negative(F.col(spec.duration)),
-    }).drop("__unit")
+    source = materialise(df.select(*needed)) if reference is None else reference  # read by three passes
+    if canonical:
+        days = F.col(spec.duration) * X.days_of_unit(F.col(spec.duration_unit))
+        limit = global_threshold(source, days, DURATION_QUANTILE).scalar()
+        derived = df.withColumn("duration_days", days)
+    else:
+        limit = global_threshold(with_unit_token(source, spec), duration_in_days(spec), DURATION_QUANTILE).scalar()
+        derived = with_unit_token(df, spec).withColumns({
+            "duration_days": duration_in_days(spec),
+            spec.duration_unit: X.unit_of_token(F.col("__unit")),
+            spec.duration: N.non_negative(F.col(spec.duration)),
+        }).drop("__unit")
     return derived.withColumns({
         "duration_improbable": F.coalesce(
             F.col("duration_days") > F.greatest(limit, F.lit(DURATION_FLOOR_DAYS)), F.lit(False)

@@ -67,7 +67,7 @@ def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:
     if spec.price:
         out = D.with_price_flags(out, spec, reference)
     if spec.duration and spec.duration_unit:
-        out = D.with_duration(out, spec, reference)
+        out = D.with_duration(out, spec, reference, canonical=True)
     rules = D.temporal_rules(spec)
     return out.withColumns({
         **D.presence_flags(spec),
@@ -80,11 +80,11 @@ def _derive(df: DataFrame, spec: Spec, reference: DataFrame) -> DataFrame:
 
 
 def corrected(df: DataFrame, spec: Spec) -> DataFrame:
-    """Negative amounts to null and units to their canonical name, in place."""
+    """Of a coerced table: negative amounts to null and units to their canonical name, in place."""
     amounts = [c for c in (spec.price, spec.duration, *spec.counters) if c in df.columns]
     changes = {c: N.non_negative(F.col(c)) for c in amounts}
     if spec.duration_unit in df.columns:
-        changes[spec.duration_unit] = X.duration_unit(F.col(spec.duration_unit))
+        changes[spec.duration_unit] = X.duration_unit(F.col(spec.duration_unit), normalized=True)
     return df.withColumns(changes) if changes else df
 
 
