@@ -35,3 +35,14 @@ def test_few_lines_leave_their_partitions_to_the_session(spark):
     plan = fixtures._lines(spark, SF, {"n_lines"})._jdf.queryExecution().executedPlan().toString()
     number = spark.conf.get("spark.sql.shuffle.partitions")
     assert re.findall(r"Exchange hashpartitioning\(l_orderkey#\w+, (\d+)\)", plan) == [number]
+
+
+def test_file_splits_hold_16_mb(spark):
+    """Partial aggregates of whole rows, as in deduplication, take about ten times their split's bytes."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        configure(spark)
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 16 << 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
